@@ -3,9 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import tokens
-from tidemark.llm.common import read_table
+from tidemark.llm import tokens, toxicity, warc
+from tidemark.llm.common import Scratch, read_table
+
+
+def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_sample(docs, read_table(spark, sf_dir, "labels")))
+    return toxicity.score_documents(docs, model).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+
+
+def op4_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "archives")
+    folder = scratch.path("warc")
+    written = warc.write_archives(read_table(spark, sf_dir, "pages"), folder, scratch)
+    return warc.read_archives(written, folder, payloads=False).drop("url")
 
 
 def op5_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +34,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack_documents(read_table(spark, sf_dir, "documents"), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_length_histogram, op8_bpe_trie, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_compression_toxicity, op4_dictionary_warc, op5_token_length_histogram, op8_bpe_trie, op10_best_fit_packing)}
 
 #: DuckDB SQL where it can express the operator.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_dictionary_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT payload_digest, max(page_id) AS target FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+        SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+               CASE WHEN target IS NULL OR target = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN target <> page_id THEN target END AS refers_to
+        FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest""",
+}
