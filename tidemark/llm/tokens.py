@@ -30,7 +30,7 @@ OUTPUTS = {
 
 
 def _texts(column) -> list:
-    return column.cast(pa.large_binary()).to_pylist()
+    return column.to_pylist()
 
 
 def _id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -107,6 +107,8 @@ def length_histogram(lengths: DataFrame, bucket: int = 1024) -> DataFrame:
     """
     hist = lengths.where("n_tokens is not null").groupBy(F.col("n_tokens").cast("bigint").alias("context_limit")).agg(F.count("*").alias("n_docs"))
     hist = hist.withColumn("n_tokens", F.col("context_limit") * F.col("n_docs")).withColumn("slot", F.floor(F.col("context_limit") / bucket))
+    # written once: both the totals and the running sums read it
+    hist = Scratch(lengths.sparkSession, "histogram").write(hist, "lengths")
     totals = hist.groupBy("slot").agg(F.sum("n_docs").alias("slot_docs"), F.sum("n_tokens").alias("slot_tokens"))
     # a row per slot: longest text / bucket of them
     later = W.partitionBy(F.lit(0)).orderBy(F.desc("slot")).rowsBetween(W.unboundedPreceding, -1)
