@@ -1,9 +1,10 @@
 """BPE encoding and decoding by depth-first traversal of a trie of distinct words.
 
 The tokenizer is a file of the public ``tokenizers`` library whose model is BPE with word ends and
-whose pre-tokenizer never crosses white space (``word_bpe_49k.json``).  A text is cut at ASCII white space
-into pieces; a piece's ids do not depend on its neighbours, so each distinct piece is encoded once
-and texts are put together from pieces.
+whose pre-tokenizer never crosses white space (``word_bpe_49k.json``).  A text is cut into words; a word's
+ids do not depend on its neighbours, so each distinct word is encoded once and texts are put together
+from words.  Texts with letters beyond Latin-1, or with a special token's string, are cut at ASCII white space into
+pieces, and these go through the library's own normalizer and pre-tokenizer.
 
 How a set of distinct words is encoded.  For a BPE whose merge ranks are the order of learning, two facts
 hold: (1) the encoding of a string, cut after any of its tokens, is the encoding of the two parts; (2)
@@ -21,20 +22,20 @@ import json
 import os
 import re
 from functools import lru_cache
+from struct import pack as _pack
 
 import numpy as np
 
-#: Bytes of text taken at a time; bounds the Python objects alive at once.
-CHUNK_BYTES = 4 << 20
-#: Distinct pieces remembered per Python worker; beyond it the memory starts anew (results do not change).
-CACHE_PIECES = 700_000
+#: Characters of text taken at a time; bounds the Python objects alive at once.
+CHUNK_CHARS = 8 << 20
+#: Distinct words remembered per Python worker; beyond it the memory starts anew (results do not change).
+CACHE_WORDS = 600_000
 CACHE_PAIRS = 1_000_000
 
-_SPACE = b" \t\n\x0b\x0c\r"
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 #: Latin-1 letters are single code points that no normal form changes and whose lower case is one code point.
 _LATIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \t\n\r\f\va-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: The file's pattern for words, over lower-case Latin-1 letters.
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \t\n\r\f\va-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 def _byte_symbols() -> list[str]:
@@ -82,12 +83,12 @@ class TrieBpe:
         self.n_ids = max(strings) + 1
         self.strings = [strings.get(i, "") for i in range(self.n_ids)]
         self.decimals = [str(i) for i in range(self.n_ids)]
-        self.specials = [t["content"].encode() for t in spec["added_tokens"]]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.spines_right: dict[int, list] = {}
         self.spines_left: dict[int, list] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.known: dict[str | bytes, bytes] = {}
 
     # -- which tokens may stand side by side --
 
@@ -110,7 +111,7 @@ class TrieBpe:
         Replays the merges at the boundary in order of rank: the right edge of a and the left edge of b grow
         until both are whole; they go together unless the two edges merge with each other before that.
         """
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is not None:
             return known
         left, right, i, j, ok = self._spine(a, 1), self._spine(b, 0), 0, 0, True
@@ -129,7 +130,7 @@ class TrieBpe:
                 j += 1
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
-        self.pairs[a, b] = ok
+        self.pairs[a << 32 | b] = ok
         return ok
 
     def _whole(self, token: int) -> bool:
@@ -161,108 +162,103 @@ class TrieBpe:
 
     # -- the traversal --
 
-    def _last(self, backwards: dict, word: str, depth: int, path: list[tuple[int, int]]) -> tuple[int, int]:
-        """The last token, and its length, of the encoding of word[:depth]; path[d] is that of word[:d]."""
-        found, node, at = [], backwards, depth
-        while at:
-            at -= 1
-            node = node.get(word[at])
-            if node is None:
-                break
-            if "" in node:
-                found.append(node[""])
-        together, pairs = self.together, self.pairs
-        for token, length in reversed(found):
-            if length == depth:
-                if self._whole(token):
-                    return token, length
-                continue
-            before = path[depth - length][0]
-            fits = pairs.get((before, token))
-            if fits if fits is not None else together(before, token):
-                return token, length
-        raise ValueError(f"no encoding for {word[:depth]!r}")
-
     def encode_words(self, words) -> dict[str, bytes]:
         """Ids, as little-endian 32-bit numbers, of each distinct word (given in byte-level symbols)."""
         out: dict[str, bytes] = {}
-        path: list[tuple[int, int]] = [(-1, 0)]
+        inner, final, pairs, together, whole = self.inner, self.final, self.pairs, self.together, self._whole
+        # tokens[d], lengths[d]: last token of the encoding of the first d symbols on the path
+        tokens, lengths = [-1], [0]
         previous = ""
         for word in sorted(words):
-            n = min(len(previous), len(word))
-            shared = n if previous[:n] == word[:n] else len(os.path.commonprefix([previous, word]))
-            del path[shared + 1 :]
-            for depth in range(shared + 1, len(word)):
-                path.append(self._last(self.inner, word, depth, path))
-            ids, depth = [], len(word)
-            token, length = self._last(self.final, word, depth, path)
-            while True:
-                ids.append(token)
-                depth -= length
-                if not depth:
-                    break
-                token, length = path[depth]
+            size = len(word)
+            shared = min(len(previous), size - 1)
+            if previous[:shared] != word[:shared]:
+                shared = len(os.path.commonprefix([previous, word]))
+            del tokens[shared + 1 :], lengths[shared + 1 :]
+            for depth in range(shared + 1, size + 1):
+                # all tokens that end here, short ones first; the one that goes with what stands before it is the last
+                node, at, found = (inner if depth < size else final), depth, []
+                while at:
+                    at -= 1
+                    node = node.get(word[at])
+                    if node is None:
+                        break
+                    if "" in node:
+                        found.append(node[""])
+                while True:  # a single symbol is a token, so one is found
+                    token, length = found.pop()
+                    if length == depth:
+                        if whole(token):
+                            break
+                    else:
+                        before = tokens[depth - length]
+                        fits = pairs.get(before << 32 | token)
+                        if fits if fits is not None else together(before, token):
+                            break
+                tokens.append(token)
+                lengths.append(length)
+            ids, depth = [], size
+            while depth:
+                ids.append(tokens[depth])
+                depth -= lengths[depth]
             ids.reverse()
-            out[word] = np.array(ids, "<u4").tobytes()
-            previous = word[: len(path) - 1]  # the nodes on the path; the word's last symbol ended it
+            out[word] = _pack(f"<{len(ids)}I", *ids)
+            # the last node holds the word's end and belongs to no prefix
+            tokens.pop()
+            lengths.pop()
+            previous = word[:-1]
         return out
 
     # -- texts --
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encode pieces that are not known yet."""
-        split: dict[bytes, list[str]] = {}
-        for piece in pieces:
-            if any(s in piece for s in self.specials):
-                ids = self.library.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
-                self.pieces[piece] = np.array(ids, "<u4").tobytes()
-            elif piece.isascii():
-                text = piece.lower().decode("ascii")
-                words = _ASCII_WORDS.findall(text)
-                if not text.isprintable():
-                    words = ["".join(self.symbols[ord(c)] for c in w) for w in words]
-                split[piece] = words
-            else:
-                text = piece.decode("utf-8", "replace")
-                if _LATIN.fullmatch(text):
-                    split[piece] = [w.translate(self.latin) for w in _LATIN_WORDS.findall(text.lower())]
-                    continue
-                text = self.library.normalizer.normalize_str(text)
-                split[piece] = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
-        words = {w for ws in split.values() for w in ws}
-        if words:
-            known = self.encode_words(words)
-            for piece, ws in split.items():
-                self.pieces[piece] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
-        else:
-            self.pieces.update(dict.fromkeys(split, b""))
-
-    def encode(self, text: bytes) -> np.ndarray:
+    def _keys(self, text: str) -> list:
+        """A text as keys of the cache: its words (str) or, where letters beyond Latin-1 may compose, pieces (bytes)."""
+        if "<|" not in text and (text.isascii() or _LATIN.fullmatch(text)):
+            return _WORDS.findall(text.lower())
+        raw = text.encode("utf-8", "replace")
+        # the strings of special tokens count only as they are written
+        return raw.split() if "<|" in text else raw.lower().split()
+
+    def _learn(self, keys) -> None:
+        """Encode words and pieces that are not known yet."""
+        symbols = {k: k if k.isascii() and k.isprintable() else k.translate(self.latin) for k in keys if type(k) is str}
+        pieces: dict[bytes, list[str]] = {}
+        for piece in keys:
+            if type(piece) is bytes:
+                text = piece.decode("utf-8")
+                if any(s in text for s in self.specials):
+                    self.known[piece] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                else:
+                    text = self.library.normalizer.normalize_str(text)
+                    pieces[piece] = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        ids = self.encode_words(set(symbols.values()).union(*pieces.values()))
+        self.known.update({k: ids[w] for k, w in symbols.items()})
+        self.known.update({k: b"".join([ids[w] for w in ws]) for k, ws in pieces.items()})
+
+    def encode(self, text: str) -> np.ndarray:
         return next(self.encode_many([text]))
 
     def encode_many(self, texts):
-        """Ids (uint32) of each text, given as UTF-8; white space and empty texts give no ids."""
-        held: list[list[bytes]] = []
+        """Ids (uint32) of each text; a null text counts as empty, white space gives no ids."""
+        held: list[list] = []
         size = 0
         for text in texts:
-            text = text or b""
-            # the strings of special tokens count only as they are written
-            held.append(text.split() if b"<|" in text else text.lower().split())
-            size += len(text)
-            if size >= CHUNK_BYTES:
+            held.append(self._keys(text) if text else [])
+            size += len(text or "")
+            if size >= CHUNK_CHARS:
                 yield from self._put_together(held)
                 held, size = [], 0
         yield from self._put_together(held)
 
-    def _put_together(self, held: list[list[bytes]]):
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        new = set().union(*held).difference(self.pieces) if held else set()
+    def _put_together(self, held: list[list]):
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        new = set().union(*held).difference(self.known)
         if new:
-            self._learn(list(new))
-        look = self.pieces.__getitem__
-        for pieces in held:
-            yield np.frombuffer(b"".join(map(look, pieces)), "<u4")
+            self._learn(new)
+        look = self.known.__getitem__
+        for keys in held:
+            yield np.frombuffer(b"".join(map(look, keys)), "<u4")
 
     def decode(self, ids) -> str:
         """As ``decode(ids, skip_special_tokens=False)`` of the library for a file without a decoder: tokens joined by spaces."""
