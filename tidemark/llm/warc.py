@@ -155,6 +155,8 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, id_col="page
     refers = F.when(F.col("target") != F.col("page_id"), F.col("target"))
     plan = joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", refers.alias("refers_to"))
     sample = rows.select("page_id", "url", F.substring("payload", 1, SAMPLE_CHARS).alias("part"), "payload_digest").orderBy(F.xxhash64("page_id", "payload_digest")).limit(SAMPLE_RECORDS)
+    # written first, so that the executors' candidates for the sample do not all come to the driver
+    sample = scratch.write(sample, "sample")
     dictionary = train([record(r["page_id"], r["url"], bytes(r["part"]), None, r["payload_digest"]) for r in sample.collect()])
 
     def write(batches):
