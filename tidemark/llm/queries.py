@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import tokens, toxicity, warc
+from tidemark.llm import setjoin, tokens, toxicity, warc
 from tidemark.llm.common import Scratch, read_table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = setjoin.jaccard_join(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return documents
+
+
 def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.training_sample(docs, read_table(spark, sf_dir, "labels")))
@@ -34,7 +39,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack_documents(read_table(spark, sf_dir, "documents"), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op3_compression_toxicity, op4_dictionary_warc, op5_token_length_histogram, op8_bpe_trie, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_compression_toxicity, op4_dictionary_warc, op5_token_length_histogram, op8_bpe_trie, op10_best_fit_packing)}
 
 #: DuckDB SQL where it can express the operator.
 ORACLE_SQL: dict[str, str] = {
