@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import setjoin, tokens, toxicity, warc
+from tidemark.llm import linededup, pii, setjoin, tokens, toxicity, vectors, warc
 from tidemark.llm.common import Scratch, read_table
 
 
@@ -14,6 +14,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents
 
 
+#: The key of the surrogates; a deployment brings its own.
+SURROGATE_KEY = "tidemark"
+
+
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY, count_col="n_entities")
+
+
 def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.training_sample(docs, read_table(spark, sf_dir, "labels")))
@@ -31,15 +39,27 @@ def op5_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(tokens.token_lengths(read_table(spark, sf_dir, "documents")))
 
 
+def op6_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), removed_col="n_removed_lines")
+
+
+def op7_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(read_table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack_documents(read_table(spark, sf_dir, "documents"), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_compression_toxicity, op4_dictionary_warc, op5_token_length_histogram, op8_bpe_trie, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_surrogates, op3_compression_toxicity, op4_dictionary_warc, op5_token_length_histogram, op6_line_alignment, op7_sorted_projections, op8_bpe_trie, op9_nn_descent, op10_best_fit_packing)}
 
 #: DuckDB SQL where it can express the operator.
 ORACLE_SQL: dict[str, str] = {
