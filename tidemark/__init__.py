@@ -1,0 +1 @@
+"""Analytics on Spark: readers, checked schemas, versioned tables with a change feed, stateful streams."""
