@@ -57,7 +57,7 @@ def _directions(dim: int, n: int, seed: int) -> np.ndarray:
 
 #: Passes, sign bits of a pass's sort key, vectors of a block.  A vector is compared with its own block and the next ones
 #: on both sides.  Of a pair of neighbouring blocks, this share of links (of all pairs) makes the window go on.
-PASSES, KEY_BITS, BLOCK, GO_ON = 8, 48, 256, 0.02
+PASSES, KEY_BITS, BLOCK, GO_ON = 8, 48, 512, 0.02
 
 
 def _groups(batches, columns: list[str], key: list[str]):
