@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import Files, shared_dir
@@ -42,8 +43,13 @@ def rate(spark: SparkSession, rows_per_batch: int = 100) -> DataFrame:
 
 
 def replay(df: DataFrame, column: str, batches: int) -> DataFrame:
-    """A table as a stream of ``batches`` micro-batches in the order of a column; batches are written to the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex[:12]}"
-    df.repartitionByRange(batches, column).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """A table as a stream of ``batches`` micro-batches in the order of a numeric column.
+
+    Batches are written to the shared folder one after another: a file stream takes files by age.
+    """
+    feed = DripFeed(df.sparkSession, df.schema)
+    cuts = df.approxQuantile(column, [i / batches for i in range(1, batches)], 0.0) if batches > 1 else []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = df if low is None else df.filter(F.col(column) > low)
+        feed.add(part if high is None else part.filter(F.col(column) <= high))
+    return feed.stream()

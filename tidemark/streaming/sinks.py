@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
 from tidemark.operators import cdc
 from tidemark.operators.table import VersionedTable
-from tidemark.session import shared_dir
+from tidemark.session import Files, shared_dir
 
 
 def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
@@ -34,18 +35,7 @@ def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, in
     query.awaitTermination()
     if not seen:
         return spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(0).cast("bigint"))
-    return spark.read.schema(seen["schema"].add("_batch", "bigint")).parquet(*(f"{root}/out/batch={p.batchId}" for p in _written(spark, root)))
-
-
-class _Batch:
-    def __init__(self, batchId: int):
-        self.batchId = batchId
-
-
-def _written(spark, root: str) -> list[_Batch]:
-    from tidemark.session import Files
-
-    return [_Batch(int(n.split("=")[1])) for n in Files(spark, root).list("out")]
+    return spark.read.schema(T.StructType([*seen["schema"], T.StructField("_batch", T.LongType())])).parquet(*(f"{root}/out/{n}" for n in Files(spark, root).list("out")))
 
 
 def latest(emitted: DataFrame, key: str) -> DataFrame:
