@@ -137,6 +137,35 @@ def case_when_concat_cast(spark, d):
     return c.select("c_custkey", F.when(F.col("c_acctbal") < 0, F.concat(F.lit("Debt. "), F.col("c_name"))).otherwise(F.col("c_name")).alias("title"), F.col("c_nationkey").cast("string").alias("nation"))
 
 
+@query("SELECT p_partkey, p_size + 1 AS a, p_size + 1 AS b, p_size + 1 AS c FROM part")
+def reference_forms(spark, d):
+    """A column by function, by text and by frame are the same column."""
+    p = table(spark, d, "part")
+    return p.select("p_partkey", (F.col("p_size") + 1).alias("a"), F.expr("p_size + 1").alias("b"), (p["p_size"] + 1).alias("c"))
+
+
+@query("SELECT p_partkey * p_partkey AS value FROM part")
+def map_values(spark, d):
+    """One output per row: a column expression where the closure can be said as one."""
+    return table(spark, d, "part").select((F.col("p_partkey") * F.col("p_partkey")).alias("value"))
+
+
+@query("SELECT * FROM (VALUES ('u1', 'c1', 'i1'), ('u1', 'c1', 'i2'), ('u2', 'c2', 'i1')) AS t(\"userId\", \"cartId\", \"itemId\")")
+def local_rows(spark, d):
+    schema = T.StructType([T.StructField(c, T.StringType(), False) for c in ("userId", "cartId", "itemId")])
+    return spark.createDataFrame([("u1", "c1", "i1"), ("u1", "c1", "i2"), ("u2", "c2", "i1")], schema)
+
+
+@query("SELECT r_regionkey, r_name FROM region WHERE false")
+def empty_frame(spark, d):
+    return readers.empty(spark, table(spark, d, "region").schema)
+
+
+@query("SELECT range AS id, range % 3 AS part FROM range(1, 10)")
+def fixed_partitions(spark, d):
+    return spark.range(1, 10, 1, 3).repartition(2).coalesce(1).select("id", (F.col("id") % 3).alias("part"))
+
+
 # -- arrays, JSON, XML --
 
 
@@ -189,6 +218,30 @@ def group_members(spark, d):
     return table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_list("c_custkey")), ",").alias("members"))
 
 
+@query("""SELECT c_nationkey, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY c_nationkey""")
+def map_groups(spark, d):
+    """One output per group by a function over the whole group; groups here are nations, bounded by the key's table."""
+
+    def summary(key, rows):
+        import pandas as pd
+
+        return pd.DataFrame([(key[0], len(rows), int(rows["c_custkey"].sum()))], columns=["c_nationkey", "n", "keys"])
+
+    return table(spark, d, "customer").select("c_nationkey", "c_custkey").groupBy("c_nationkey").applyInPandas(summary, "c_nationkey int, n bigint, keys bigint")
+
+
+@query("SELECT n_regionkey, count(*) AS n, min(n_name) AS first_name FROM nation GROUP BY n_regionkey")
+def nested_rows(spark, d):
+    """Whole rows nested under their key, and read again."""
+    nested = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct("*")).alias("rows"))
+    return nested.select("n_regionkey", F.size("rows").cast("bigint").alias("n"), F.array_min(F.transform("rows", lambda r: r["n_name"])).alias("first_name"))
+
+
+@query("SELECT DISTINCT event_type, user_id % 10 AS bucket FROM events")
+def distinct_rows(spark, d):
+    return table(spark, d, "events").select("event_type", (F.col("user_id") % 10).alias("bucket")).distinct()
+
+
 @query("SELECT count(DISTINCT user_id) AS users FROM events")
 def count_distinct(spark, d):
     return table(spark, d, "events").select("user_id").distinct().agg(F.count("user_id").alias("users"))
@@ -415,6 +468,16 @@ def stream_collect_update(spark, d):
     return last.select("event_type", F.size("users").cast("bigint").alias("n"), F.array_join(F.sort_array(F.array_distinct("users")), ",").alias("users"))
 
 
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_memory_sink(spark, d):
+    """An update-mode query into a memory table, read by SQL; counts only grow, so the largest is the last."""
+    name = f"seen_{uuid.uuid4().hex[:12]}"
+    running = sinks.to_memory(_events(spark, d).groupBy("event_type").agg(F.count("*").alias("n")), name)
+    running.processAllAvailable()
+    running.stop()
+    return spark.sql(f"SELECT event_type, max(n) AS n FROM {name} GROUP BY event_type ORDER BY event_type")
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_watermark_group(spark, d):
     """Grouping is not by event time, so the watermark drops nothing: late rows count."""
