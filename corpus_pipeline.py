@@ -42,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups, _ = setjoin.jaccard_join(docs, k=5, num=80, den=100)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = Scratch(spark, "duplicates").write(gone, "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

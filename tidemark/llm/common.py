@@ -18,6 +18,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Bytes of a batch that goes to a Python worker, unless the session says otherwise: texts may be long.
+ARROW_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # Spark's default
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage; ``drop`` deletes them.
 
@@ -26,7 +36,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.count = 0
+        self.count, self.paths = 0, {}
+        bounded_batches(spark)
         atexit.register(self._quietly_drop)
 
     def path(self, name: str) -> str:
@@ -37,8 +48,15 @@ class Scratch:
         """Write and read again: later jobs start from the files, whichever executors are lost."""
         path = self.path(name)
         df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def discard(self, *names: str) -> None:
+        """Delete tables of these names that nothing will read again."""
+        for name in names:
+            for path in self.paths.pop(name, []):
+                delete_path(self.spark, path)
+
     def drop(self) -> None:
         delete_path(self.spark, self.root)
 
@@ -82,6 +100,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
             "labels",
         )
         changed = after.where("new <> label").limit(1).count()
+        scratch.discard("near", "hear", "roots", "moved")
         labels = after.select("id", F.col("new").alias("label"))
         if not changed:
             return labels.select("id", F.col("label").alias("component"))

@@ -511,6 +511,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
         pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least("own", j) * F.col("parts") + F.greatest("own", j))
         blocks = put.select("token", "id", "n", "pos", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(pair))).alias("block"))
     scanned = scratch.write(scan_lists(blocks, rule), "scanned")
+    scratch.discard("sets", "classes", "entries", "long")
     bitmaps = reps.select(F.col("id").alias("bid"), F.col("n").cast("bigint").alias("bn"), "bitmap")
     dense = scanned.where("kind = 1").select("token", "block", F.col("a").alias("id"), "n", "pos")
     dense = dense.join(bitmaps, (F.col("id") == F.col("bid")) & (F.col("n") == F.col("bn"))).drop("bid", "bn")
@@ -522,6 +523,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
     groups = scratch.write(covered.where("kind = 2 and a <> b").select(F.col("a").alias("pivot"), F.col("b").alias("id")).distinct(), "groups")
 
+    scratch.discard("scanned", "covered")
     wanted = pairs.select("a").union(pairs.select("b")).union(groups.select("pivot")).union(groups.select("id"))
     sets = scratch.write(wanted_sets(rows, k, bloom(wanted)).dropDuplicates(), "wanted")
     pair_sets = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -531,6 +533,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     near = diffs.where("linked").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"), (F.col("np") - F.octet_length("less") / 8).cast("bigint").alias("overlap"))
     more = derived_links(diffs, scratch, rule).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap")
     links = scratch.write(found.union(near).union(more).distinct(), "links")
+    scratch.discard("reps", "pairs", "groups", "wanted", "found", "differences", "sizes", "open")
     components = connected_components(spark, links, scratch)
     out = member.select("id", "n", "rep").join(components.select(F.col("id").alias("cid"), "component"), F.col("rep") == F.col("cid"), "left")
     documents = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))

@@ -10,7 +10,6 @@ logistic curve, fitted on labelled documents that the dictionaries were not trai
 from __future__ import annotations
 
 import random
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -20,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
+
 #: Bounds of the labelled sample: documents of each label, and the longest document taken for training.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2000, 6000, 16_384
 #: Windows: bytes, and bytes from one to the next.
@@ -192,6 +193,7 @@ def score_documents(docs: DataFrame, model: Model, id_col="doc_id", text_col="te
     Whole texts are scored; a null text counts as empty, which has no windows and gets the score of none.
     Null ids and repeated rows are kept.  Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     columns = [docs[id_col].cast("bigint").alias("doc_id"), F.lower(docs[text_col].cast("string")).alias("text")]
     kept = [docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)]
     chosen = docs.select(*columns, *kept)
@@ -217,7 +219,3 @@ def score_documents(docs: DataFrame, model: Model, id_col="doc_id", text_col="te
     kinds = ", ".join(f"keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     out = chosen.mapInArrow(run, "doc_id bigint, score double, predicted int" + (f", {kinds}" if kinds else ""))
     return out.select("doc_id", "score", "predicted", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)))
-
-
-def crc32_text(value: int) -> int:
-    return zlib.crc32(str(value).encode())

@@ -145,8 +145,8 @@ def near_duplicate_vectors(table: DataFrame, num: float = 0.93, id_col="vec_id",
         base += r["n"] + 1
     if not bases:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    first = F.element_at(F.create_map(*(F.lit(v).cast("bigint") for pair in bases for v in pair)), F.col("part").cast("bigint"))
-    places = numbered.select("uid", "pass", (first + F.col("own")).alias("place"))
+    starts = F.broadcast(spark.createDataFrame(bases, "p int, first bigint"))
+    places = numbered.join(starts, F.col("part") == F.col("p")).select("uid", "pass", (F.col("first") + F.col("own")).alias("place"))
     places = places.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "place"))), lambda s: s["place"]).alias("places"))
     placed = scratch.write(used.select(F.col("uid").alias("u"), "label", "dim", "vec").join(places, F.col("u") == F.col("uid")).drop("u"), "placed")
 
