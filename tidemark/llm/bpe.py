@@ -18,6 +18,7 @@ the number of trie nodes, also for a "word" of a million characters.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -27,15 +28,15 @@ from struct import pack as _pack
 import numpy as np
 
 #: Characters of text taken at a time; bounds the Python objects alive at once.
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 4 << 20
 #: Distinct words remembered per Python worker; beyond it the memory starts anew (results do not change).
-CACHE_WORDS = 600_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 500_000
+CACHE_PAIRS = 300_000
 
 #: Latin-1 letters are single code points that no normal form changes and whose lower case is one code point.
 _LATIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: The file's pattern for words, over lower-case Latin-1 letters.
-_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \t\n\r\f\va-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_WORDS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\r\f\va-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 def _byte_symbols() -> list[str]:
@@ -45,12 +46,12 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in visible else chr(next(other)) for b in range(256)]
 
 
-class TrieBpe:
-    """Encoder and decoder for one tokenizer file."""
+class LibraryBpe:
+    """Encoder and decoder for one tokenizer file: distinct words go through the library, texts are put together from words."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -61,14 +62,94 @@ class TrieBpe:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        strings = {i: t for t, i in model["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.n_ids = max(strings) + 1
+        self.strings = [strings.get(i, "") for i in range(self.n_ids)]
+        self.decimals = [str(i) for i in range(self.n_ids)]
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.is_end = np.array([t.endswith(self.end) for t in self.strings])
+        self.known: dict[str | bytes, bytes] = {}
+        # distinct words are normal, split and in byte-level symbols already
+        self.words_only = Tokenizer(self.library.model)
+        self.words_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.symbols = _byte_symbols()
+        self.latin = {c: "".join(self.symbols[b] for b in chr(c).encode()) for c in range(256)}
+        self._load(model)
+
+    def _load(self, model: dict) -> None:
+        pass
+
+    def encode_latin(self, words: list[str]) -> dict[str, bytes]:
+        """Ids, as little-endian 32-bit numbers, of distinct lower-case words; each ends with a token with a word end."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            mapped = " ".join("\n".join(part).translate(self.latin).split(self.symbols[10]))
+            ids = np.array(self.words_only.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+            cuts = ((np.flatnonzero(self.is_end[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+        return out
+
+    def _keys(self, text: str) -> list:
+        """A text as keys of the cache: its words (str) or, where letters beyond Latin-1 may compose, pieces (bytes)."""
+        if "<|" not in text and (text.isascii() or _LATIN.fullmatch(text)):
+            return _WORDS.findall(text.lower())
+        raw = text.encode("utf-8", "replace")
+        # the strings of special tokens count only as they are written
+        return raw.split() if "<|" in text else raw.lower().split()
+
+    def _learn(self, keys) -> None:
+        """Encode words and pieces that are not known yet."""
+        self.known.update(self.encode_latin([k for k in keys if type(k) is str]))
+        for piece in keys:
+            if type(piece) is bytes:
+                self.known[piece] = np.array(self.library.encode(piece.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        return next(self.encode_many([text]))
+
+    def encode_many(self, texts):
+        """Ids (uint32) of each text; a null text counts as empty, white space gives no ids."""
+        held: list[list] = []
+        size = 0
+        for text in texts:
+            held.append(self._keys(text) if text else [])
+            size += len(text or "")
+            if size >= CHUNK_CHARS:
+                yield from self._put_together(held)
+                held, size = [], 0
+        yield from self._put_together(held)
+
+    def _put_together(self, held: list[list]):
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        new = set().union(*held).difference(self.known)
+        if new:
+            self._learn(new)
+        look = self.known.__getitem__
+        for keys in held:
+            yield np.frombuffer(b"".join(map(look, keys)), "<u4")
+
+    def decode(self, ids) -> str:
+        """As ``decode(ids, skip_special_tokens=False)`` of the library for a file without a decoder: tokens joined by spaces."""
+        return " ".join(map(self.strings.__getitem__, ids))
+
+    def written(self, ids) -> str:
+        """Decimal ids joined by spaces."""
+        return " ".join(map(self.decimals.__getitem__, ids))
+
+
+class TrieBpe(LibraryBpe):
+    """The same, with distinct words encoded by the trie."""
+
+    def _load(self, model: dict) -> None:
         vocab = model["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges)}
         self.parts = {vocab[a + b]: (vocab[a], vocab[b], r) for r, (a, b) in enumerate(merges)}
         if len(self.parts) != len(merges):
             raise ValueError("a token that two merges make has no single history")
-        self.symbols = _byte_symbols()
-        self.latin = {c: "".join(self.symbols[b] for b in chr(c).encode()) for c in range(256)}
         #: token strings read backwards, as nested dicts; "" holds the id and the length in symbols
         self.inner: dict = {}
         self.final: dict = {}
@@ -79,16 +160,10 @@ class TrieBpe:
             for c in reversed(own):
                 node = node.setdefault(c, {})
             node[""] = (i, len(own))
-        strings = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.n_ids = max(strings) + 1
-        self.strings = [strings.get(i, "") for i in range(self.n_ids)]
-        self.decimals = [str(i) for i in range(self.n_ids)]
-        self.specials = [t["content"] for t in spec["added_tokens"]]
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.spines_right: dict[int, list] = {}
         self.spines_left: dict[int, list] = {}
-        self.known: dict[str | bytes, bytes] = {}
 
     # -- which tokens may stand side by side --
 
@@ -211,14 +286,6 @@ class TrieBpe:
 
     # -- texts --
 
-    def _keys(self, text: str) -> list:
-        """A text as keys of the cache: its words (str) or, where letters beyond Latin-1 may compose, pieces (bytes)."""
-        if "<|" not in text and (text.isascii() or _LATIN.fullmatch(text)):
-            return _WORDS.findall(text.lower())
-        raw = text.encode("utf-8", "replace")
-        # the strings of special tokens count only as they are written
-        return raw.split() if "<|" in text else raw.lower().split()
-
     def _learn(self, keys) -> None:
         """Encode words and pieces that are not known yet."""
         symbols = {k: k if k.isascii() and k.isprintable() else k.translate(self.latin) for k in keys if type(k) is str}
@@ -235,44 +302,14 @@ class TrieBpe:
         self.known.update({k: ids[w] for k, w in symbols.items()})
         self.known.update({k: b"".join([ids[w] for w in ws]) for k, ws in pieces.items()})
 
-    def encode(self, text: str) -> np.ndarray:
-        return next(self.encode_many([text]))
-
-    def encode_many(self, texts):
-        """Ids (uint32) of each text; a null text counts as empty, white space gives no ids."""
-        held: list[list] = []
-        size = 0
-        for text in texts:
-            held.append(self._keys(text) if text else [])
-            size += len(text or "")
-            if size >= CHUNK_CHARS:
-                yield from self._put_together(held)
-                held, size = [], 0
-        yield from self._put_together(held)
-
-    def _put_together(self, held: list[list]):
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = set().union(*held).difference(self.known)
-        if new:
-            self._learn(new)
-        look = self.known.__getitem__
-        for keys in held:
-            yield np.frombuffer(b"".join(map(look, keys)), "<u4")
-
-    def decode(self, ids) -> str:
-        """As ``decode(ids, skip_special_tokens=False)`` of the library for a file without a decoder: tokens joined by spaces."""
-        return " ".join(map(self.strings.__getitem__, ids))
-
-    def written(self, ids) -> str:
-        """Decimal ids joined by spaces."""
-        return " ".join(map(self.decimals.__getitem__, ids))
-
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> TrieBpe:
+def encoder(path: str, trie: bool = True) -> LibraryBpe:
     """One encoder per Python worker and file."""
-    return TrieBpe(path)
+    made = TrieBpe(path) if trie else LibraryBpe(path)
+    gc.collect()
+    gc.freeze()  # its tables live as long as the worker; later collections need not walk them
+    return made
 
 
 def default_tokenizer() -> str:
