@@ -174,5 +174,16 @@ def test_passage_inside_a_paragraph(spark):
     assert got == {0: texts[0], 1: b + " " + b.replace("b", "c"), 2: texts[2]}
 
 
+@pytest.mark.parametrize("text", ["", "a", "a\n", "\n\na. b! c?  d.\n", "x. \n. y", "a\0b. c\n\0", "é. ü\n"])
+def test_cut(spark, text):
+    """The same lines in Python and in SQL."""
+    from pyspark.sql import functions as F
+
+    own = [x.decode() for x in linededup.cut(text.encode())]
+    assert "".join(own) == text
+    frame = spark.createDataFrame([(text,)], "t string").select(F.split("t", linededup.ENDS, -1))
+    assert frame.first()[0] == own
+
+
 def test_no_lines(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0

@@ -1,26 +1,34 @@
 """Line deduplication by pairwise alignment of overlapping documents.
 
-Documents overlap if they share a line that only a few words long lines are too common to show: for each line of at least
-LEAST_LINE_WORDS words, the document with the smallest id that holds it is its first holder, and each later holder is
-paired with it.  So a line in a million documents makes a million pairs and not their square, and the lines need no
-bound on how frequent they are.  A pair is aligned with patience diff: lines that are unique in both are matched along their longest
-common order, matches grow over equal neighbours, and the gaps between are aligned in the same way.  Aligned lines that
-stand together in the later document, whatever earlier document each comes from, form a block; blocks of at least
-LEAST_BLOCK_WORDS words are deleted from the later document.  The first holder of a line never loses it to a later one.
+Lines are pieces of a text up to a line end; prose that holds a paragraph in one line is cut after sentences too, so that a
+passage that was put into the middle of a paragraph is found.  Two documents overlap if they share lines that are rare: of
+LEAST_LINE_WORDS words or more, that is, too long to occur by chance.  For each such line the document with the smallest
+id is its first holder, and each later holder is paired with it, if the lines that lead to one partner have
+LEAST_PAIR_WORDS words.  So a line in a million documents makes a million pairs and not their square, and a line needs no
+bound on how many documents hold it.  A pair is aligned with patience diff: lines that are unique in both are matched along
+their longest common order, matches grow over equal neighbours, and the gaps between are aligned in the same way.
+Aligned lines that stand together in the later document, whatever earlier document each comes from, form a block; blocks of
+at least LEAST_BLOCK_WORDS words are deleted from the later document.  The first holder of a line never loses it to a
+later one.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch
 
 LEAST_LINE_WORDS = 4
+LEAST_PAIR_WORDS = 12
 LEAST_BLOCK_WORDS = 20
+#: Where lines end: after a line end, and after a sentence.
+ENDS = r"(?<=\n)|(?<=[.?!] )"
 
 
 def _longest_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -74,42 +82,56 @@ def patience(x: list[int], y: list[int]) -> list[int]:
     return sorted(set(aligned))
 
 
-def _lines(text):
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def cut(text: bytes) -> list[bytes]:
+    """The lines of a text, each with its end; together they are the text."""
+    if b"\0" in text:
+        return re.split(ENDS.encode(), text)
+    for end in (b"\n", b". ", b"? ", b"! "):
+        text = text.replace(end, end + b"\0")
+    return text.split(b"\0")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, gone): for rows that lose lines, the ranges (first, last) of line numbers; fp is a hash of the text."""
+    """(id, fp, gone, tail): for rows that lose lines, the ranges (first, last) of line numbers, and whether the last line goes;
+    fp is a hash of the text."""
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null and text <> ''")
-    clean = lambda x: F.trim(x)
-    words = lambda x: F.length(clean(x)) - F.length(F.replace(clean(x), F.lit(" "), F.lit(""))) + F.when(clean(x) == "", 0).otherwise(1)
-    seqs = rows.select(
-        "id",
-        F.xxhash64("text").alias("fp"),
-        F.transform(_lines(F.col("text")), lambda x: F.xxhash64(clean(x))).alias("seq"),
-        F.transform(_lines(F.col("text")), words).alias("words"),
-    )
+
+    def sequence(batches):
+        for b in batches:
+            seqs_, words = [], []
+            for text in b.column("text").cast(pa.large_binary()).to_pylist():
+                own = [x.strip(b" \n\r\t") for x in cut(text)]
+                seqs_.append([_signed(xxhash.xxh64_intdigest(x)) for x in own])
+                words.append([x.count(b" ") + 1 if x else 0 for x in own])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("fp"), pa.array(seqs_, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], names=["id", "fp", "seq", "words"])
+
+    seqs = rows.select("id", F.xxhash64("text").alias("fp"), "text").mapInArrow(sequence, "id bigint, fp bigint, seq array<bigint>, words array<int>")
     seqs = scratch.write(seqs, "sequences").dropDuplicates(["id", "fp"])
     seqs = scratch.write(seqs, "documents")
-    lines = scratch.write(seqs.select("id", F.explode(F.arrays_zip("seq", "words")).alias("l")).where(f"l.words >= {LEAST_LINE_WORDS}").select("id", F.col("l.seq").alias("h")), "lines")
+    lines = seqs.select("id", F.explode(F.arrays_zip("seq", "words")).alias("l")).where(f"l.words >= {LEAST_LINE_WORDS}")
+    lines = scratch.write(lines.select("id", F.col("l.seq").alias("h"), F.col("l.words").alias("w")), "lines")
     holders = lines.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(F.col("h").alias("held"), "first")
     holders = scratch.write(holders, "holders")
-    pairs = lines.join(holders, F.col("h") == F.col("held")).where("id > first").select("id", "first").distinct()
-    pairs = scratch.write(pairs, "pairs")
+    pairs = lines.join(holders.hint("merge"), F.col("h") == F.col("held")).where("id > first").groupBy("id", "first").agg(F.sum("w").alias("w"))
+    pairs = scratch.write(pairs.where(f"w >= {LEAST_PAIR_WORDS}").select("id", "first"), "pairs")
     later = pairs.join(seqs.select(F.col("id").alias("lid"), "fp", "seq", "words"), F.col("id") == F.col("lid")).drop("lid")
     both = later.join(seqs.select(F.col("id").alias("eid"), F.col("seq").alias("earlier")), F.col("first") == F.col("eid")).select("id", "fp", "seq", "words", "earlier")
 
     def align(batches):
         for b in batches:
-            rows_ = [(i, f, p, [w[k] for k in p]) for i, f, x, w, y in zip(*(b.column(c).to_pylist() for c in ("id", "fp", "seq", "words", "earlier")), strict=True) if (p := patience(x, y))]
+            rows_ = [(i, f, len(x), p, [w[k] for k in p]) for i, f, x, w, y in zip(*(b.column(c).to_pylist() for c in ("id", "fp", "seq", "words", "earlier")), strict=True) if (p := patience(x, y))]
             if rows_:
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows_, strict=True), kinds, strict=True)], names=["id", "fp", "at", "words"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows_, strict=True), kinds, strict=True)], names=["id", "fp", "n", "at", "words"])
 
     def blocks(batches):
         for b in batches:
             out = []
-            for i, f, at, words_ in zip(*(b.column(c).to_pylist() for c in ("id", "fp", "at", "words")), strict=True):
+            for i, f, n, at, words_ in zip(*(b.column(c).to_pylist() for c in ("id", "fp", "n", "at", "words")), strict=True):
                 size = {p: w for ps, ws in zip(at, words_, strict=True) for p, w in zip(ps, ws, strict=True)}
                 ranges, first, last, total = [], None, None, 0
                 for p in [*sorted(size), None]:
@@ -121,14 +143,14 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
                         first, total = (p, 0) if first is None else (first, total)
                         last, total = p, total + size[p]
                 if ranges:
-                    out.append((i, f, ranges))
+                    out.append((i, f, ranges, ranges[-1]["last"] == n - 1))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "fp", "gone"])
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "fp", "gone", "tail"])
 
-    aligned = scratch.write(both.mapInArrow(align, "id bigint, fp bigint, at array<int>, words array<int>"), "aligned")
-    merged = aligned.groupBy("id", "fp").agg(F.collect_list("at").alias("at"), F.collect_list("words").alias("words"))
-    return scratch.write(merged.mapInArrow(blocks, "id bigint, fp bigint, gone array<struct<first:int,last:int>>"), "gone")
+    aligned = scratch.write(both.mapInArrow(align, "id bigint, fp bigint, n int, at array<int>, words array<int>"), "aligned")
+    merged = aligned.groupBy("id", "fp").agg(F.max("n").alias("n"), F.collect_list("at").alias("at"), F.collect_list("words").alias("words"))
+    return scratch.write(merged.mapInArrow(blocks, "id bigint, fp bigint, gone array<struct<first:int,last:int>>, tail boolean"), "gone")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
@@ -139,11 +161,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     aligned with each other.  A document may end up empty.
     """
     gone = removed_lines(docs, Scratch(docs.sparkSession, "lines"), id_col, text_col)
-    gone = gone.select(F.col("id").alias("_ld_id"), F.col("fp").alias("_ld_fp"), F.col("gone").alias("_ld_gone"))
+    # a sort-merge join at every size, of which Spark can split a skewed part
+    gone = gone.select(F.col("id").alias("_ld_id"), F.col("fp").alias("_ld_fp"), F.col("gone").alias("_ld_gone"), F.col("tail").alias("_ld_tail")).hint("merge")
     keyed = docs.withColumns({"_ld_key": docs[id_col].cast("bigint"), "_ld_hash": F.xxhash64(docs[text_col].cast("string"))})
     joined = keyed.join(gone, (F.col("_ld_key") == F.col("_ld_id")) & (F.col("_ld_hash") == F.col("_ld_fp")), "left")
-    kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda x, i: ~F.exists("_ld_gone", lambda r: i.between(r["first"], r["last"]))), "\n")
-    text = F.when(F.col("_ld_gone").isNull(), F.col(text_col)).otherwise(kept)
+    lines = F.split(F.col(text_col), ENDS, -1)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.exists("_ld_gone", lambda r: i.between(r["first"], r["last"]))), "")
+    # what stands before a deleted end keeps no line end
+    cut_text = F.when(F.col("_ld_tail"), F.regexp_replace(kept, r"\s+$", "")).otherwise(kept)
+    text = F.when(F.col("_ld_gone").isNull(), F.col(text_col)).otherwise(cut_text)
     count = F.coalesce(F.aggregate("_ld_gone", F.lit(0).cast("bigint"), lambda s, r: s + r["last"] - r["first"] + 1), F.lit(0).cast("bigint"))
     extra = [count.alias(removed_col)] if removed_col else []
     return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), *extra)
