@@ -47,6 +47,15 @@ PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 MAYBE = rf"[0-9@]|(?i:password|passwd|pwd|secret|key|token)[ ]{{0,2}}[=:]|(?:{_ALL})\.? \p{{Lu}}|[a-f]{{32}}"
 
 
+def is_digit(c: Column) -> Column:
+    return c.between("0", "9")
+
+
+def _spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Few bytes but much work for each row: dealt out over all tasks, which adaptive execution would join by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def _kind(raw: Column) -> Column:
     return reduce(lambda c, t: c.when(raw.rlike(f"^(?:{TYPES[t]})$"), t), list(TYPES)[1:], F.when(raw.rlike(f"^(?:{TYPES['email']})$"), "email")).otherwise("hex")
 
@@ -59,7 +68,7 @@ def _parts(raw: Column, kind: Column) -> Column:
     solid = F.regexp_replace(F.upper(raw), "[^0-9A-Z]", "")
     one = lambda k, key: F.array(F.struct(k.alias("kind"), key.alias("key")))
     names = F.split(F.regexp_replace(raw, rf"^(?:{_ALL})\.? ", ""), " ")
-    title = F.regexp_extract(raw, rf"^({_ALL})", 1)
+    title = F.regexp_extract(raw, rf"^({_ALL})(?!\p{{L}})", 1)
     gender = F.when(title.isin(*HONORIFICS["m"]), "m").when(title.isin(*HONORIFICS["f"]), "f").otherwise("u")
     person = F.transform(names, lambda w, i: F.struct(F.when(i == F.size(names) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), gender)).alias("kind"), F.lower(w).alias("key")))
     return (
@@ -81,8 +90,8 @@ def _luhn(digits: Column) -> Column:
 
 
 def _surrogate(kind: Column, key: Column, turn: Column, secret: str) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.lit(secret), kind, key, turn.cast("string")), 256)
-    number = lambda i: F.conv(F.substring(digest, 2 * F.pmod(i - 1, F.lit(32)) + 1, F.lit(2)), 16, 10).cast("int")
+    digest = F.sha2(F.concat_ws("|", F.lit(secret), kind, key, turn.cast("string")), 512)
+    number = lambda i: F.conv(F.substring(digest, 2 * F.pmod(i - 1, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")
     at = lambda i: F.substring(key, i, F.lit(1))
     pick = lambda table, v, m: F.substring(F.lit(table), F.pmod(v, F.lit(m)) + 1, F.lit(1))
     # characters that say what kind of thing it is stay: country, issuer, reserved domain
@@ -91,10 +100,10 @@ def _surrogate(kind: Column, key: Column, turn: Column, secret: str) -> Column:
     char = lambda i: (
         F.when((i <= head) | (i > F.length(key) - tail), at(i))
         .when((kind == "phone") & i.isin(1, 4) & (F.length(key) == 10), pick("23456789", number(i), 8))
-        .when(((kind == "hex") | key.rlike("^[0-9a-f]+$")) & at(i).rlike("[0-9a-f]") & kind.isin("hex", "secret"), pick("0123456789abcdef", number(i), 16))
-        .when(at(i).rlike("[0-9]"), pick("0123456789", number(i), 10))
-        .when(at(i).rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", number(i), 26))
-        .when(at(i).rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", number(i), 26))
+        .when(((kind == "hex") | key.rlike("^[0-9a-f]+$")) & (is_digit(at(i)) | at(i).between("a", "f")) & kind.isin("hex", "secret"), pick("0123456789abcdef", number(i), 16))
+        .when(is_digit(at(i)), pick("0123456789", number(i), 10))
+        .when(at(i).between("a", "z"), pick("abcdefghijklmnopqrstuvwxyz", number(i), 26))
+        .when(at(i).between("A", "Z"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", number(i), 26))
         .otherwise(at(i))
     )
     mapped = F.array_join(F.transform(F.sequence(F.lit(1), F.length(key)), char), "")
@@ -121,7 +130,8 @@ def _written(raw: Column, kind: Column, parts: Column) -> Column:
     right = lambda i: F.length(F.regexp_replace(F.substring(raw, i, n), "[^0-9A-Za-z]", ""))
     bare = F.regexp_replace(new, "[^0-9A-Za-z]", "")
     from_right = lambda i: F.substring(bare, F.length(bare) - right(i) + 1, F.lit(1))
-    put = lambda i: F.when(~char(i).rlike("[0-9A-Za-z]") | (right(i) > F.length(bare)), char(i)).when(char(i).rlike("[A-Z]"), F.upper(from_right(i))).otherwise(from_right(i))
+    solid = lambda c: is_digit(c) | c.between("A", "Z") | c.between("a", "z")
+    put = lambda i: F.when(~solid(char(i)) | (right(i) > F.length(bare)), char(i)).when(char(i).between("A", "Z"), F.upper(from_right(i))).otherwise(from_right(i))
     like_raw = F.array_join(F.transform(F.sequence(F.lit(1), n), put), "")
     head = F.regexp_extract(raw, rf"^(?:(?:{_ALL})\.? |{_HEAD[1:]})", 0)
     return F.when(kind == "person", F.concat(head, F.array_join(F.transform(parts, F.initcap), " "))).when(kind == "secret", F.concat(head, new)).when(kind.isin("ip", "aws", "hex"), new).otherwise(like_raw)
@@ -132,7 +142,7 @@ def surrogates(entities: DataFrame, secret: str, scratch: Scratch) -> DataFrame:
     keys = scratch.write(entities.select("kind", "key").distinct().withColumn("turn", F.lit(0)), "keys")
     real = keys.select(F.col("kind").alias("rk"), F.col("key").alias("real"))
     while True:
-        made = keys.withColumn("surrogate", _surrogate(F.col("kind"), F.col("key"), F.col("turn"), secret))
+        made = _spread(keys, "key").withColumn("surrogate", _surrogate(F.col("kind"), F.col("key"), F.col("turn"), secret))
         first = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("turn", "key")) > 1
         taken = made.withColumn("later", first).join(real, (F.col("kind") == F.col("rk")) & (F.col("surrogate") == F.col("real")), "left")
         made = scratch.write(taken.select("kind", "key", "turn", "surrogate", (F.col("later") | F.col("real").isNotNull()).alias("again")), "made")
@@ -153,15 +163,15 @@ def replace_entities(docs: DataFrame, secret: str, text_col: str = "text", count
     found = scratch.write(found, "found")
     found = scratch.write(found.groupBy("fp").agg(F.first("found").alias("found")), "distinct")
     seen = scratch.write(found.select("fp", F.posexplode("found").alias("pos", "raw")), "seen")
-    raws = seen.select("raw").distinct().withColumn("kind", _kind(F.col("raw")))
+    raws = _spread(seen.select("raw").distinct(), "raw").withColumn("kind", _kind(F.col("raw")))
     parts = scratch.write(raws.select("raw", F.col("kind").alias("of"), F.posexplode(_parts(F.col("raw"), F.col("kind"))).alias("i", "e")).select("raw", "of", "i", "e.kind", "e.key"), "parts")
     new = surrogates(parts, secret, scratch).select(F.col("kind").alias("sk"), F.col("key").alias("sv"), "surrogate")
     joined = parts.join(new, (F.col("kind") == F.col("sk")) & (F.col("key") == F.col("sv")))
     whole = joined.groupBy("raw", "of").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "surrogate"))), lambda x: x["surrogate"]).alias("parts"))
-    table = scratch.write(whole.select(F.col("raw").alias("was"), _written(F.col("raw"), F.col("of"), F.col("parts")).alias("now")), "table")
+    table = scratch.write(_spread(whole, "raw").select(F.col("raw").alias("was"), _written(F.col("raw"), F.col("of"), F.col("parts")).alias("now")), "table")
     put = seen.join(table, F.col("raw") == F.col("was")).groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("pos", "now"))).alias("put"))
     put = scratch.write(put.select(F.col("fp").alias("_pii_fp"), F.transform("put", lambda x: x["now"]).alias("_pii_put")), "put")
-    maybe = docs.where(text.rlike(MAYBE)).withColumn("_pii_key", F.md5(text)).join(put, F.col("_pii_key") == F.col("_pii_fp"), "left")
+    maybe = docs.where(text.rlike(MAYBE)).withColumn("_pii_key", F.md5(text)).join(put.hint("merge"), F.col("_pii_key") == F.col("_pii_fp"), "left")
     pieces = F.zip_with(F.split(text, PATTERN, -1), "_pii_put", lambda s, r: F.concat(s, F.coalesce(r, F.lit(""))))
     changed = F.when(F.col("_pii_put").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(pieces, ""))
     count = [F.coalesce(F.when(F.col("_pii_put").isNotNull(), F.size("_pii_put")), F.lit(0)).alias(count_col)] if count_col else []
