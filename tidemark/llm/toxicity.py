@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +23,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bounded_batches
 
 #: Bounds of the labelled sample: documents of each label, and the longest document taken for training.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2000, 6000, 16_384
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2000, 4000, 16_384
 #: Windows: bytes, and bytes from one to the next.
 WINDOW, STRIDE = 64, 48
 #: From this level on zstd searches dictionaries in full.
 LEVEL = 6
+#: Shares of ordinary windows that stay below a threshold.
+SHARES = (0.9, 0.97, 0.99, 0.998)
+#: How much more frequent a word's beginning is in toxic text than elsewhere, to mark a toxic word.
+LIFT = 30
 ORDINARY_BYTES, TOXIC_BYTES = 65_536, 16_384
 _CHUNK = 4 << 20
 
@@ -35,7 +40,7 @@ _CHUNK = 4 << 20
 class Model:
     ordinary: bytes
     toxic: bytes
-    threshold: int
+    thresholds: list[int]  # bytes saved from which on a window counts: rarer and rarer among ordinary ones
     weights: list[float]  # of the features, the constant last; empty: nothing was learnt
 
 
@@ -74,11 +79,13 @@ class Scorer:
         delta, owner = self.saved(texts)
         n = len(texts)
         windows = np.bincount(owner, minlength=n).astype(float)
-        over = delta >= self.model.threshold
-        hits = np.bincount(owner, over, minlength=n)
-        gain = np.bincount(owner, np.where(over, delta, 0), minlength=n)
-        rate = hits / np.maximum(windows, 1)
-        return np.stack([np.log1p(hits), np.log1p(gain), np.sqrt(rate), np.log1p(windows), np.ones(n)], 1)
+        columns = []
+        for least in self.model.thresholds:
+            over = delta >= least
+            hits = np.bincount(owner, over, minlength=n)
+            columns += [np.log1p(hits), np.sqrt(hits / np.maximum(windows, 1))]
+        gain = np.bincount(owner, np.maximum(delta, 0), minlength=n)
+        return np.stack([*columns, np.log1p(gain), np.log1p(windows), np.ones(n)], 1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not self.model.weights:
@@ -87,21 +94,36 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _contexts(texts: list[bytes]) -> set[tuple[bytes, bytes]]:
-    """Words with the word before: a passage that was copied a thousand times counts once."""
-    seen: set[tuple[bytes, bytes]] = set()
-    for text in texts:
-        words = text.split()
-        seen.update(zip([b"", *words], words))
-    return seen
+class _Contexts:
+    """Words with the word before, as hashes: a passage that was copied a thousand times counts once.
 
+    Counts the beginnings of words over distinct contexts, and keeps about one context in ``one_in`` as a sample.
+    """
 
-def _starts(contexts: set[tuple[bytes, bytes]]) -> Counter:
-    count: Counter = Counter()
-    for _, word in contexts:
-        for k in range(4, min(len(word), 12) + 1):
-            count[word[:k]] += 1
-    return count
+    def __init__(self, without: _Contexts | None = None, one_in: int = 0):
+        self.seen: set[int] = set()
+        self.without = without.seen if without else ()
+        self.starts: Counter = Counter()
+        self.samples: list[tuple[int, bytes]] = []
+        self.one_in = one_in
+
+    def new(self, text: bytes):
+        before = b""
+        for word in text.split():
+            both = before + b" " + word
+            before = word
+            h = xxhash.xxh64_intdigest(both)
+            if h not in self.seen and h not in self.without:
+                self.seen.add(h)
+                yield h, both, word
+
+    def add(self, text: bytes) -> None:
+        starts = self.starts
+        for h, both, word in self.new(text):
+            for k in range(4, min(len(word), 12) + 1):
+                starts[word[:k]] += 1
+            if self.one_in and h % self.one_in == 0:
+                self.samples.append((h, both + b" "))
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -124,30 +146,35 @@ def fit(sample: list[tuple[str | None, int]], seed: int = 0) -> Model:
     rng.shuffle(rows)
     by_label = [[t for t, x in rows if x == label] for label in (0, 1)]
     if not all(by_label):
-        return Model(b" ", b" ", 1, [])
+        return Model(b" ", b" ", [1], [])
     learn = [part[: max(1, len(part) * 3 // 5)] for part in by_label]
-    ordinary, toxic = map(_contexts, learn)
-    toxic -= ordinary
-    n_toxic, n_ordinary = _starts(toxic), _starts(ordinary)
+    ordinary = _Contexts(one_in=max(1, sum(map(len, learn[0])) // 400_000))
+    for text in learn[0]:
+        ordinary.add(text)
+    toxic = _Contexts(without=ordinary)
+    for text in learn[1]:
+        toxic.add(text)
     # toxic text: words whose beginnings stand in many different places of toxic documents and hardly ever elsewhere
-    least = 30 * max(1, len(toxic)) / max(1, len(ordinary))
-    marks = {w for w, n in n_toxic.items() if n >= 4 and n > least * (n_ordinary[w] + 1)}
-    toxic_samples = sorted(b" " + w + b" " for _, w in toxic if any(w[:k] in marks for k in range(4, 13)))
-    ordinary_samples = sorted(p + b" " + w + b" " for p, w in ordinary)
+    least = LIFT * max(1, len(toxic.seen)) / max(1, len(ordinary.seen))
+    marks = {w for w, n in toxic.starts.items() if n >= 4 and n > least * (ordinary.starts[w] + 1)}
+    again = _Contexts(without=ordinary)
+    found = [(both, word) for text in learn[1] for _, both, word in again.new(text) if not marks or any(word[:k] in marks for k in range(4, 13))]
+    toxic_samples = sorted(b" " + word + b" " if marks else both + b" " for both, word in found)
+    ordinary_samples = [x for _, x in sorted(ordinary.samples)]
+    del ordinary, toxic, again, found
     rng.shuffle(toxic_samples)
     rng.shuffle(ordinary_samples)
-    if not toxic_samples:
-        toxic_samples = sorted(p + b" " + w + b" " for p, w in toxic)
     distinct = list(dict.fromkeys(toxic_samples))
     held = b"".join(distinct)
     if len(held) > TOXIC_BYTES:  # as far as it goes whole; else what the trainer finds worth keeping
         held = _dictionary(toxic_samples, TOXIC_BYTES)
-    model = Model(_dictionary(ordinary_samples[:60_000], ORDINARY_BYTES), held, 1, [])
+    model = Model(_dictionary(ordinary_samples[:60_000], ORDINARY_BYTES), held, [1], [])
     # thresholds: on documents that the dictionaries have not seen, where there are any
     rest = [part[len(seen) :] or part for part, seen in zip(by_label, learn, strict=True)]
     scorer = Scorer(model)
     clean = scorer.saved(rest[0])[0]
-    model.threshold = max(1, int(np.quantile(clean, 0.998)) + 1) if len(clean) else 1
+    top = [int(np.quantile(clean, q)) + 1 if len(clean) else 1 for q in SHARES]
+    model.thresholds = sorted({max(1, t) for t in top})
     x = scorer.features(rest[0] + rest[1])
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
     w = np.zeros(x.shape[1])
