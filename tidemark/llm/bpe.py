@@ -28,9 +28,9 @@ from struct import pack as _pack
 import numpy as np
 
 #: Characters of text taken at a time; bounds the Python objects alive at once.
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 2 << 20
 #: Distinct words remembered per Python worker; beyond it the memory starts anew (results do not change).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 CACHE_PAIRS = 300_000
 
 #: Latin-1 letters are single code points that no normal form changes and whose lower case is one code point.

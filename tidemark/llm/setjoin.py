@@ -188,6 +188,37 @@ def entries_of(reps: DataFrame) -> DataFrame:
     return reps.select("id", "n", "prefix").where("n > 0").mapInArrow(run, "token bigint, id bigint, n int, pos int")
 
 
+def long_lists(reps: DataFrame) -> DataFrame:
+    """(long, parts): tokens whose list has more than LIST_ENTRIES entries, and the blocks to cut it into.
+
+    A task passes on what it has seen twice or more among about two million entries, so almost nothing is shuffled; a list
+    can thus be longer than LIST_ENTRIES by no more than the number of such portions.
+    """
+
+    def count(batches):
+        held, size = [], 0
+
+        def flush():
+            u, n = np.unique(np.concatenate(held), return_counts=True)
+            u, n = u[n > 1], n[n > 1]
+            for i in range(0, len(u), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 50_000]), pa.array(n[i : i + 50_000])], names=["token", "m"])
+
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                held.append(np.frombuffer(p, "<i8"))
+                size += len(held[-1])
+                if size >= 2_000_000:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
+
+    counts = reps.select("prefix").where("octet_length(prefix) > 0").mapInArrow(count, "token bigint, m bigint")
+    counts = counts.groupBy("token").agg(F.sum("m").alias("m")).where(F.col("m") > LIST_ENTRIES)
+    return counts.select(F.col("token").alias("long"), F.ceil(2 * F.col("m") / LIST_ENTRIES).cast("int").alias("parts"))
+
+
 def _runs(batches, columns: list[str], key: list[str]):
     """Whole groups of consecutive rows with one key, many groups at a time: a dict of arrays."""
     rest: dict | None = None
@@ -500,9 +531,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     reps = member.where("prefix is not null").dropDuplicates(["id", "n", "prefix"])
     reps = scratch.write(reps, "reps")
 
-    entries = scratch.write(entries_of(reps), "entries")
-    long = entries.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > LIST_ENTRIES)
-    long = scratch.write(long.select(F.col("token").alias("long"), F.ceil(2 * F.col("m") / LIST_ENTRIES).cast("int").alias("parts")), "long")
+    entries, long = entries_of(reps), scratch.write(long_lists(reps), "long")
     if long.isEmpty():
         blocks = entries.withColumn("block", F.lit(0))
     else:
@@ -511,7 +540,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
         pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least("own", j) * F.col("parts") + F.greatest("own", j))
         blocks = put.select("token", "id", "n", "pos", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(pair))).alias("block"))
     scanned = scratch.write(scan_lists(blocks, rule), "scanned")
-    scratch.discard("sets", "classes", "entries", "long")
+    scratch.discard("sets", "classes", "long")
     bitmaps = reps.select(F.col("id").alias("bid"), F.col("n").cast("bigint").alias("bn"), "bitmap")
     dense = scanned.where("kind = 1").select("token", "block", F.col("a").alias("id"), "n", "pos")
     dense = dense.join(bitmaps, (F.col("id") == F.col("bid")) & (F.col("n") == F.col("bn"))).drop("bid", "bn")
