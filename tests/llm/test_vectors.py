@@ -52,6 +52,19 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_crowd_over_many_partitions(spark, monkeypatch):
+    """Copies that fill several range partitions and many blocks: each links with all others."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        got = run(spark, [(i, [1.0, 2.0, 3.0, -1.0], 1) for i in range(400)], "vec_id bigint, embedding array<float>, label int")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)
+    assert sum(r["n_links"] for r in got.values()) == 400 * 399
+    assert {r["n_links"] for r in got.values()} == {399} and {r["component_id"] for r in got.values()} == {0}
+
+
 def test_repeated_rows_and_nothing(spark):
     kind = "vec_id bigint, embedding array<double>, label int"
     got = vectors.near_duplicate_vectors(spark.createDataFrame([(1, [1.0, 0.0], 5), (1, [1.0, 0.0], 5), (None, [1.0, 0.0], 5)], kind)).collect()

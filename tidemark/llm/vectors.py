@@ -142,7 +142,7 @@ def near_duplicate_vectors(table: DataFrame, num: float = 0.93, id_col="vec_id",
     base, bases = 0, []
     for r in numbered.groupBy("part").agg(F.max("own").alias("n")).orderBy("part").collect():  # a row per partition
         bases.append((r["part"], base))
-        base += r["n"] + 1
+        base += r["n"]  # without a gap: the last block of a partition and the first of the next are neighbours
     if not bases:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     starts = F.broadcast(spark.createDataFrame(bases, "p int, first bigint"))
