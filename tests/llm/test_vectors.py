@@ -65,6 +65,24 @@ def test_crowd_over_many_partitions(spark, monkeypatch):
     assert {r["n_links"] for r in got.values()} == {399} and {r["component_id"] for r in got.values()} == {0}
 
 
+def test_every_link_of_a_crowd(spark, monkeypatch):
+    """Near copies that the first signs split, and copies of one vector that start and end inside a block."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    x = np.array([c + 0.25 * rng.standard_normal(24) for c in rng.standard_normal((2, 24)) for _ in range(110)], "f4")
+    x = np.concatenate([x, np.repeat(rng.standard_normal((1, 24)), 130, 0).astype("f4"), rng.standard_normal((60, 24)).astype("f4")])
+    label, ids = np.ones(len(x), int), rng.permutation(len(x))
+    got = run(spark, [(int(i), [float(v) for v in e], 1) for i, e in zip(ids, x, strict=True)], "vec_id bigint, embedding array<float>, label int")
+    n, comp = brute(ids, x, label, 0.93)
+    assert [got[int(i)]["n_links"] for i in ids] == n.tolist(), (sum(r["n_links"] for r in got.values()), n.sum())
+    assert [got[int(i)]["component_id"] for i in ids] == comp.tolist()
+
+
+def test_passes_follow_the_rows():
+    at = [vectors.passes_for(n, 0.93) for n in (0, 1, 512, 10**5, 10**6, 10**7, 10**8)]
+    assert at == sorted(at) and at[:3] == [vectors.PASSES] * 3 and at[-2] > at[3] > vectors.PASSES
+
+
 def test_repeated_rows_and_nothing(spark):
     kind = "vec_id bigint, embedding array<double>, label int"
     got = vectors.near_duplicate_vectors(spark.createDataFrame([(1, [1.0, 0.0], 5), (1, [1.0, 0.0], 5), (None, [1.0, 0.0], 5)], kind)).collect()

@@ -55,9 +55,21 @@ def _directions(dim: int, n: int, seed: int) -> np.ndarray:
 
 # -- near-duplicates --
 
-#: Passes, sign bits of a pass's sort key, vectors of a block.  A vector is compared with its own block and the next ones
-#: on both sides.  Of a pair of neighbouring blocks, this share of links (of all pairs) makes the window go on.
-PASSES, KEY_BITS, BLOCK, GO_ON = 8, 48, 512, 0.02
+#: Passes at least, sign bits of a pass's sort key, vectors of a block, share of lone pairs at the threshold that no pass may see.
+PASSES, KEY_BITS, BLOCK, MISSED = 8, 48, 512, 0.01
+
+
+def passes_for(n: int, num: float) -> int:
+    """How many passes n vectors of a label need.
+
+    Two vectors at cosine ``num`` differ in each sign with probability acos(num) / pi.  They surely meet in a pass where they agree in
+    as many leading signs as cut the n vectors into parts of a block.
+    """
+    bits = max(0.0, np.log2(n / BLOCK)) if n else 0.0
+    agree = (1 - np.arccos(np.clip(num, -1.0, 1.0)) / np.pi) ** bits
+    if agree >= 1 - MISSED or agree <= 0:
+        return PASSES
+    return max(PASSES, int(np.ceil(np.log(MISSED) / np.log1p(-agree))))
 
 
 def _groups(batches, columns: list[str], key: list[str]):
@@ -95,10 +107,11 @@ def _forest(good: np.ndarray) -> np.ndarray:
 def near_duplicate_vectors(table: DataFrame, num: float = 0.93, id_col="vec_id", vec_col="embedding", label_col="label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row; vectors with equal labels link at cosine >= ``num``.
 
-    In each of PASSES passes the vectors are ordered by label and by the concatenated signs of random projections, cut into
-    blocks of BLOCK, and each block is compared with itself and its neighbour in double precision.  Where neighbouring
-    blocks link densely, all blocks of such a run are compared, so a crowd larger than the window loses no
-    link.  A pair counts in the first pass whose window holds it; blocks return counts and spanning links, never all pairs.
+    Equal vectors of a label are one class first, and link.  In each of ``passes_for`` passes the classes are ordered by
+    label and by the concatenated signs of random projections, cut into blocks of BLOCK, and each block is compared with
+    itself and its neighbour in double precision; of the links found spanning ones are returned, which give components.
+    Then all pairs within a component are compared, whichever pass brought them together, so a crowd larger than the window
+    loses no link.  Blocks return counts and spanning links, never all pairs.
 
     Rows whose label or id is null, or whose vector is null, empty, zero or holds null or non-finite components, link
     with nothing: n_links 0, component_id their own id, kept.  Vectors of different length never link.  Repeated rows are vectors
@@ -106,26 +119,31 @@ def near_duplicate_vectors(table: DataFrame, num: float = 0.93, id_col="vec_id",
     """
     spark, scratch = table.sparkSession, Scratch(table.sparkSession, "vectors")
     rows, kind = valid_vectors(table, scratch, id_col, vec_col, label_col)
-    used = rows.where("vec is not null and label is not null and vec_id is not null")
+    marked = rows.where("vec is not null and label is not null and vec_id is not null").withColumn("fp", F.sha2("vec", 256))
+    classes = scratch.write(marked.groupBy("label", "dim", "fp").agg(F.min("uid").alias("rep"), F.count("*").alias("size")), "classes")
+    named = classes.select(F.col("label").alias("cl"), F.col("dim").alias("cd"), F.col("fp").alias("cf"), "rep", "size")
+    # a sort-merge join, of which Spark can split a vector that very many rows share
+    same = (F.col("label") == F.col("cl")) & (F.col("dim") == F.col("cd")) & (F.col("fp") == F.col("cf"))
+    member = scratch.write(marked.select("uid", "label", "dim", "fp").join(named.hint("merge"), same).select(F.col("uid").alias("mu"), "rep", "size"), "members")
+    reps = classes.select(F.col("rep").alias("ru"), "size")
+    used = scratch.write(rows.join(reps, F.col("uid") == F.col("ru")).select("uid", "label", "dim", "vec", "size"), "used")
+    largest = used.groupBy("label", "dim").count().agg(F.max("count").alias("n")).first()["n"]  # a number
+    if largest is None:
+        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    passes = passes_for(largest, num)
 
     def keys(batches):
         for b in batches:
             vecs, dims = b.column("vec").to_pylist(), b.column("dim").to_numpy()
-            out = np.zeros((len(vecs), PASSES), "int64")
+            out = np.zeros((len(vecs), passes), "int64")
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
                 x = _matrix([vecs[i] for i in at], kind, dim)
-                signs = x @ _directions(dim, PASSES * KEY_BITS, 7) > 0
+                signs = x @ _directions(dim, passes * KEY_BITS, 7) > 0
                 weight = 1 << np.arange(KEY_BITS - 1, -1, -1)
-                out[at] = (signs.reshape(len(at), PASSES, KEY_BITS) * weight).sum(2)
+                out[at] = (signs.reshape(len(at), passes, KEY_BITS) * weight).sum(2)
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("label"), b.column("dim"), pa.array(list(out), pa.list_(pa.int64()))], names=["uid", "label", "dim", "keys"])
 
-    sort_keys = used.mapInArrow(keys, "uid bigint, label bigint, dim int, keys array<bigint>")
-    order = sort_keys.select("uid", "label", "dim", F.posexplode("keys").alias("pass", "key"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = ["pass", "label", "dim", "key", "uid"]
-    order = scratch.write(order, "keys").repartitionByRange(parts, *by).sortWithinPartitions(*by).select("uid", "pass")
-
     def number(batches):
         part, block, size, last = TaskContext.get().partitionId(), 0, 0, None
         for b in batches:
@@ -138,83 +156,88 @@ def near_duplicate_vectors(table: DataFrame, num: float = 0.93, id_col="vec_id",
             n = len(at)
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("pass"), pa.array(np.full(n, part, "int32")), pa.array(at, pa.int64())], names=["uid", "pass", "part", "own"])
 
-    numbered = scratch.write(order.mapInArrow(number, "uid bigint, pass int, part int, own bigint"), "numbered")
-    base, bases = 0, []
-    for r in numbered.groupBy("part").agg(F.max("own").alias("n")).orderBy("part").collect():  # a row per partition
-        bases.append((r["part"], base))
-        base += r["n"]  # without a gap: the last block of a partition and the first of the next are neighbours
-    if not bases:
-        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    starts = F.broadcast(spark.createDataFrame(bases, "p int, first bigint"))
-    places = numbered.join(starts, F.col("part") == F.col("p")).select("uid", "pass", (F.col("first") + F.col("own")).alias("place"))
-    places = places.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "place"))), lambda s: s["place"]).alias("places"))
-    placed = scratch.write(used.select(F.col("uid").alias("u"), "label", "dim", "vec").join(places, F.col("u") == F.col("uid")).drop("u"), "placed")
+    def places(ordered, name):
+        """(pu, pass, place) of the rows in order: the number of the block."""
+        numbered = scratch.write(ordered.select("uid", "pass").mapInArrow(number, "uid bigint, pass int, part int, own bigint"), name)
+        base, bases = 0, []
+        for r in numbered.groupBy("part").agg(F.max("own").alias("n")).orderBy("part").collect():  # a row per partition
+            bases.append((r["part"], base))
+            base += r["n"]  # without a gap: the last block of a partition and the first of the next are neighbours
+        starts = F.broadcast(spark.createDataFrame(bases, "p int, first bigint"))
+        return numbered.join(starts, F.col("part") == F.col("p")).select(F.col("uid").alias("pu"), "pass", (F.col("first") + F.col("own")).alias("place"))
 
     def compare(batches):
-        """kind 0: (uid, links); kind 1: (uid, uid) linked; kind 2: (block, next block) of a dense pair in the first pass."""
+        """kind 0: (uid, links), of blocks within components; kind 1: (uid, uid) linked, of blocks within passes."""
         for t in _groups(batches, [], ["block", "pass", "far"]):
             role = t.column("role").to_numpy()
             t = t.take(pa.array(np.argsort(role, kind="stable")))
             m = int((role == 0).sum())  # rows of the block itself; the rest is of the other block
-            uid, label, dim = (t.column(c).to_numpy() for c in ("uid", "label", "dim"))
+            uid, label, dim, crowd, size = (t.column(c).to_numpy() for c in ("uid", "label", "dim", "crowd", "size"))
             if not m or (m == len(uid) and m == 1):
                 continue
             x = _matrix(t.column("vec").to_pylist(), kind, int(dim.max()))
             x /= np.linalg.norm(x, axis=1)[:, None]
-            at = np.array(t.column("places").to_pylist())
-            p, far, block = (t.column(c)[0].as_py() for c in ("pass", "far", "block"))
             good = x[:m] @ x.T >= num
-            good &= (label[:m, None] == label) & (dim[:m, None] == dim)
+            good &= (label[:m, None] == label) & (dim[:m, None] == dim) & (crowd[:m, None] == crowd)
             inside = good[:, :m]
             inside &= ~np.eye(m, dtype=bool)
-            if far:
-                inside[:] = False  # of two blocks far apart only pairs across are new
-            dense = m < len(uid) and good[:, m:].mean() >= GO_ON
-            fresh = good.copy()
-            for q in range(PASSES if far else p):  # seen together before
-                fresh &= np.abs(at[:m, None, q] - at[None, :, q]) > 1
-            links = np.zeros(len(uid), "int64")
-            links[:m] += fresh.sum(1)
-            links[m:] += fresh[:, m:].sum(0)
-            out = [(0, int(u), int(n)) for u, n in zip(uid, links, strict=True) if n]
-            if good.any():
+            out = []
+            if t.column("pass")[0].as_py() < 0:
+                if t.column("far")[0].as_py() != t.column("block")[0].as_py():
+                    inside[:] = False  # of two blocks only pairs across are new
+                links = np.zeros(len(uid), "int64")
+                links[:m] += good @ size
+                links[m:] += size[:m] @ good[:, m:]
+                out = [(0, int(u), int(n)) for u, n in zip(uid, links, strict=True) if n]
+            elif good.any():
                 full = np.zeros((len(uid), len(uid)), bool)
                 full[:m] = good
                 full |= full.T
-                out += [(1, int(uid[i]), int(uid[j])) for i, j in enumerate(_forest(full)) if i != j]
-            if dense and p == 0 and not far:
-                out.append((2, block, block + 1))
+                out = [(1, int(uid[i]), int(uid[j])) for i, j in enumerate(_forest(full)) if i != j]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["kind", "a", "b"])
 
     def compared(sides):
         order_by = ["block", "pass", "far"]
+        sides = sides.select("uid", "label", "dim", "vec", "size", "crowd", "pass", "block", "far", "role")
         return sides.repartition(*order_by).sortWithinPartitions(*order_by, "role", "uid").mapInArrow(compare, "kind int, a bigint, b bigint")
 
-    spread = placed.select("*", F.posexplode("places").alias("pass", "place"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = ["pass", "label", "dim", "key", "uid"]
+    order = scratch.write(used.mapInArrow(keys, "uid bigint, label bigint, dim int, keys array<bigint>").select("uid", "label", "dim", F.posexplode("keys").alias("pass", "key")), "keys")
+    place = places(order.repartitionByRange(parts, *by).sortWithinPartitions(*by), "numbered")
+    placed = scratch.write(used.join(place, F.col("uid") == F.col("pu")), "placed")
     roles = F.explode(F.array(F.struct(F.col("place").alias("block"), F.lit(0).alias("role")), F.struct((F.col("place") - 1).alias("block"), F.lit(1).alias("role"))))
-    sides = spread.select("uid", "label", "dim", "vec", "places", "pass", F.lit(0).cast("bigint").alias("far"), roles.alias("r")).select("*", "r.block", "r.role").drop("r")
-    results = scratch.write(compared(sides), "compared")
-    runs = scratch.write(results.where("kind = 2").select("a", "b"), "dense")
-    if not runs.isEmpty():
-        # runs of dense neighbours: every block meets those two or more places further on
-        run = connected_components(spark, runs, scratch)
-        run = scratch.write(run.select(F.col("id").alias("blk"), F.col("component").alias("run")), "runs")
-        ends = scratch.write(run.groupBy("run").agg(F.max("blk").alias("end")).select(F.col("run").alias("rr"), "end"), "ends")
-        crowd = placed.withColumn("place", F.element_at("places", 1)).join(run, F.col("place") == F.col("blk")).join(ends, F.col("run") == F.col("rr"))
-        ahead = F.when(F.col("place") + 2 <= F.col("end"), F.transform(F.sequence(F.col("place") + 2, F.col("end")), lambda o: F.struct(F.col("place").alias("block"), o.alias("far"), F.lit(0).alias("role"))))
-        behind = F.when(F.col("run") <= F.col("place") - 2, F.transform(F.sequence(F.col("run"), F.col("place") - 2), lambda o: F.struct(o.alias("block"), F.col("place").alias("far"), F.lit(1).alias("role"))))
+    zero = F.lit(0).cast("bigint")
+    found = scratch.write(compared(placed.select("*", zero.alias("crowd"), zero.alias("far"), roles.alias("r")).select("*", "r.block", "r.role")), "compared")
+    parts_of = connected_components(spark, found.select("a", "b"), scratch)
+    parts_of = scratch.write(parts_of.select(F.col("id").alias("uid"), F.col("component").alias("crowd")), "components")
+
+    # within components, blocks meet all blocks up to the component's last
+    by = ["crowd", "uid"]
+    ordered = parts_of.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("uid", F.lit(-1).alias("pass"))
+    counts = spark.createDataFrame([], "lu bigint, n bigint")
+    if not parts_of.isEmpty():
+        place = places(ordered, "in crowds").join(parts_of.select(F.col("uid").alias("cu"), "crowd"), F.col("pu") == F.col("cu")).drop("cu")
+        place = scratch.write(place, "crowded")
+        ends = place.groupBy("crowd").agg(F.min("place").alias("head"), F.max("place").alias("end")).select(F.col("crowd").alias("of"), "head", "end")
+        meet = place.join(scratch.write(ends, "ends").hint("merge"), F.col("crowd") == F.col("of")).drop("of")
+        ahead = F.transform(F.sequence("place", "end"), lambda o: F.struct(F.col("place").alias("block"), o.alias("far"), F.lit(0).alias("role")))
+        behind = F.when(F.col("head") < F.col("place"), F.transform(F.sequence(F.col("head"), F.col("place") - 1), lambda o: F.struct(o.alias("block"), F.col("place").alias("far"), F.lit(1).alias("role"))))
         none = F.array().cast("array<struct<block:bigint,far:bigint,role:int>>")
-        meet = F.explode(F.concat(F.coalesce(ahead, none), F.coalesce(behind, none)))
-        more = crowd.select("uid", "label", "dim", "vec", "places", F.lit(0).alias("pass"), meet.alias("r")).select("*", "r.far", "r.block", "r.role").drop("r")
-        results = results.union(scratch.write(compared(more.select(*sides.columns)), "crowds"))
-    counts = results.where("kind = 0").groupBy(F.col("a").alias("lu")).agg(F.sum("b").alias("n_links"))
-    parts_of = connected_components(spark, results.where("kind = 1").select("a", "b"), scratch)
-    whole = scratch.write(rows.select("uid", "vec_id").join(parts_of, F.col("uid") == F.col("id"), "left").select("uid", "vec_id", F.coalesce("component", "uid").alias("part")), "parts")
+        meet = scratch.write(meet.select("pu", "crowd", "pass", F.concat(ahead, F.coalesce(behind, none)).alias("r")), "meet")
+        sides = used.join(meet, F.col("uid") == F.col("pu")).select("*", F.explode("r").alias("s")).select("*", "s.block", "s.far", "s.role")
+        met = scratch.write(compared(sides), "crowds")
+        counts = scratch.write(met.groupBy(F.col("a").alias("lu")).agg(F.sum("b").alias("n")), "counts")
+    own = member.join(parts_of, F.col("rep") == F.col("uid"), "left").drop("uid").join(counts, F.col("rep") == F.col("lu"), "left")
+    # a row links with the others of its class and with all rows of linked classes
+    links = F.col("size") - 1 + F.coalesce("n", F.lit(0))
+    own = scratch.write(own.select("mu", F.coalesce("crowd", "rep").alias("in"), links.alias("links")), "own")
+    whole = rows.select("uid", "vec_id").join(own, F.col("uid") == F.col("mu"), "left").select("uid", "vec_id", F.coalesce("in", "uid").alias("part"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
+    whole = scratch.write(whole, "parts")
     least = whole.groupBy("part").agg(F.min("vec_id").alias("component_id")).select(F.col("part").alias("pid"), "component_id")
-    least = scratch.write(least, "least")
-    out = whole.join(least, F.col("part") == F.col("pid")).join(scratch.write(counts, "counts"), F.col("uid") == F.col("lu"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = whole.join(scratch.write(least, "least"), F.col("part") == F.col("pid"))
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 # -- nearest neighbours --
