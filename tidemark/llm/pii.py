@@ -32,19 +32,19 @@ _ALL = "|".join(x for part in HONORIFICS.values() for x in part)
 #: What is looked for, in order: at one place the first that fits is taken.
 TYPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?i:password|passwd|pwd|secret|api[_-]?key|token)[ ]{0,2}[=:][ ]{0,2}[\"']?[^\s\"']{6,200}",
+    "secret": r"(?i:password|passwd|pwd|secret|api[_-]?key|token)[ ]{0,2}[=:][ ]{0,2}[\"']?[^\s\"']{6,}+",
     "aws": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
-    "hex": r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])",
-    "person": rf"(?<!\p{{L}})(?:{_ALL})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}}){{0,2}}",
+    "hex": r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])",
+    "person": rf"(?<!\p{{L}})(?:{_ALL})\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: Texts without any of these hold nothing that PATTERN finds; most texts end here.
-MAYBE = rf"[0-9@]|(?i:password|passwd|pwd|secret|key|token)[ ]{{0,2}}[=:]|(?:{_ALL})\.? \p{{Lu}}|[a-f]{{32}}"
+MAYBE = rf"[0-9@]|(?i:password|passwd|pwd|secret|key|token)[ ]{{0,2}}[=:]|(?:{_ALL})\.? \p{{Lu}}|[a-f]{{32}}|A[KS]IA[A-Z0-9]{{16}}"
 
 
 def is_digit(c: Column) -> Column:
@@ -91,22 +91,28 @@ def _luhn(digits: Column) -> Column:
 
 def _surrogate(kind: Column, key: Column, turn: Column, secret: str) -> Column:
     digest = F.sha2(F.concat_ws("|", F.lit(secret), kind, key, turn.cast("string")), 512)
-    number = lambda i: F.conv(F.substring(digest, 2 * F.pmod(i - 1, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")
-    at = lambda i: F.substring(key, i, F.lit(1))
+    byte = lambda d, i: F.conv(F.substring(d, 2 * F.pmod(i - 1, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")
+    number = lambda i: byte(digest, i)
     pick = lambda table, v, m: F.substring(F.lit(table), F.pmod(v, F.lit(m)) + 1, F.lit(1))
     # characters that say what kind of thing it is stay: country, issuer, reserved domain
     head = F.when(kind == "iban", 2).when(kind == "aws", 4).when(kind == "card", 1).otherwise(0)
     tail = F.when(kind == "email", F.length(F.regexp_extract(key, r"(?:\.example)?\.[a-z0-9-]+$", 0))).otherwise(0)
-    char = lambda i: (
-        F.when((i <= head) | (i > F.length(key) - tail), at(i))
-        .when((kind == "phone") & i.isin(1, 4) & (F.length(key) == 10), pick("23456789", number(i), 8))
-        .when(((kind == "hex") | key.rlike("^[0-9a-f]+$")) & (is_digit(at(i)) | at(i).between("a", "f")) & kind.isin("hex", "secret"), pick("0123456789abcdef", number(i), 16))
-        .when(is_digit(at(i)), pick("0123456789", number(i), 10))
-        .when(at(i).between("a", "z"), pick("abcdefghijklmnopqrstuvwxyz", number(i), 26))
-        .when(at(i).between("A", "Z"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", number(i), 26))
-        .otherwise(at(i))
-    )
-    mapped = F.array_join(F.transform(F.sequence(F.lit(1), F.length(key)), char), "")
+    # worked out once for all characters of a key, which may be long
+    whole = F.struct(digest.alias("d"), F.length(key).alias("n"), head.alias("head"), tail.alias("tail"), key.rlike("^[0-9a-f]+$").alias("hex"))
+
+    def char(w, c, i):
+        v = byte(w["d"], i)
+        return (
+            F.when((i <= w["head"]) | (i > w["n"] - w["tail"]), c)
+            .when((kind == "phone") & i.isin(1, 4) & (w["n"] == 10), pick("23456789", v, 8))
+            .when(((kind == "hex") | w["hex"]) & (is_digit(c) | c.between("a", "f")) & kind.isin("hex", "secret"), pick("0123456789abcdef", v, 16))
+            .when(is_digit(c), pick("0123456789", v, 10))
+            .when(c.between("a", "z"), pick("abcdefghijklmnopqrstuvwxyz", v, 26))
+            .when(c.between("A", "Z"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", v, 26))
+            .otherwise(c)
+        )
+
+    mapped = F.element_at(F.transform(F.array(whole), lambda w: F.array_join(F.transform(F.split(key, ""), lambda c, i: char(w, c, i + 1)), "")), 1)
     # the check digit of a card stays right
     body = F.substring(mapped, F.lit(1), F.length(mapped) - 1)
     check = F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
