@@ -130,6 +130,18 @@ def test_whatever_is_found_passes_the_first_look(spark):
     assert frame.where(F.col("t").rlike(pii.PATTERN) & ~F.col("t").rlike(pii.MAYBE)).count() == 0
 
 
+def test_letters_of_all_scripts_and_none(spark, monkeypatch):
+    """Ends, though the third and the last have nothing that could change; and ten keys of ten possible ones."""
+    monkeypatch.setattr(pii, "TURNS", 1)
+    texts = ["password: Straßenfest", "password: секретно", "password: ********", "password: 秘密の合言葉です", "write to _@-.com", "token=!!!!!?"]
+    docs = spark.createDataFrame([*enumerate(texts)] + [(10 + i, f"pwd=*****{i}") for i in range(10)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs, "key").collect()}
+    assert re.fullmatch(r"password: [A-Z][a-z]{3}[à-ö][a-z]{6}", got[0]) and re.fullmatch(r"password: [а-я]{8}", got[1]) and got[1] != texts[1]
+    assert re.fullmatch(r"password: [0-9a-f]{16}", got[2]) and re.fullmatch(r"write to [0-9a-f]{16}@[0-9a-f]{16}\.com", got[4]) and re.fullmatch(r"token=[0-9a-f]{16}", got[5])
+    assert len(got[3]) == len(texts[3]) and not set(got[3][10:]) & set(texts[3][10:])
+    assert len({got[i] for i in range(10, 20)}) == 10 and not {got[i] for i in range(10, 20)} & {f"pwd=*****{i}" for i in range(10)}
+
+
 def test_private_of_nothing(spark):
     assert pii.replace_entities(spark.createDataFrame([], "doc_id bigint, text string"), "k").count() == 0
 

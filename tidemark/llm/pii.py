@@ -1,7 +1,7 @@
 """Surrogates for personal data and secrets, in DataFrame functions only.
 
-Detected entities get replacements made from a key: of the same type and format (digits for digits, letters for letters in
-the same case, the same punctuation), names of the same gender and script.  The same entity gets the same
+Detected entities get replacements made from a key: of the same type and format (digits for digits, letters for letters of
+the same script and case, the same punctuation; a value of punctuation alone gets a fixed format), names of the same gender and script.  The same entity gets the same
 surrogate in every document, also where it is written in another way; different entities get different ones, and
 none gets what another entity is really called.  That is checked over all entities, and who loses a collision tries again.
 """
@@ -28,6 +28,16 @@ SYLLABLES = {
 }
 ENDINGS = {("latin", "m"): "ton", ("latin", "f"): "ella", ("latin", "u"): "in", ("cyrillic", "m"): "слав", ("cyrillic", "f"): "ина", ("cyrillic", "u"): "ин"}
 
+#: Letters beyond ASCII by script: what a letter or mark matches, the first of a run of such letters, how many.  Others become ASCII.
+LETTERS = [
+    (r"[\p{IsLatin}&&\p{Ll}]", 0xE0, 23), (r"[\p{IsLatin}&&\p{Lu}]", 0xC0, 23),
+    (r"[\p{IsCyrillic}&&\p{Lu}]", 0x410, 32), (r"\p{IsCyrillic}", 0x430, 32), (r"[\p{IsGreek}&&\p{Lu}]", 0x391, 17), (r"\p{IsGreek}", 0x3B1, 25),
+    (r"\p{IsHebrew}", 0x5D0, 27), (r"\p{IsArabic}", 0x628, 19), (r"\p{IsDevanagari}", 0x915, 37), (r"\p{IsThai}", 0xE01, 46),
+    (r"\p{IsHiragana}", 0x3041, 86), (r"\p{IsKatakana}", 0x30A1, 90), (r"\p{IsHangul}", 0xAC00, 11172), (r"\p{IsHan}", 0x4E00, 20902),
+]
+#: Turns after which a key has too few surrogates of its format, and gets a longer one.
+TURNS = 8
+
 _ALL = "|".join(x for part in HONORIFICS.values() for x in part)
 #: What is looked for, in order: at one place the first that fits is taken.
 TYPES = {
@@ -100,6 +110,12 @@ def _surrogate(kind: Column, key: Column, turn: Column, secret: str) -> Column:
     # worked out once for all characters of a key, which may be long
     whole = F.struct(digest.alias("d"), F.length(key).alias("n"), head.alias("head"), tail.alias("tail"), key.rlike("^[0-9a-f]+$").alias("hex"))
 
+    def foreign(c, v, more):
+        """A letter of the same script; digits of any script become ASCII digits."""
+        of = lambda first, n: F.decode(F.unhex(F.lpad(F.hex(first + F.pmod(v * 256 + more, F.lit(n))), 4, "0")), "UTF-16BE")
+        scripts = reduce(lambda w, x: w.when(c.rlike(x[0]), of(x[1], x[2])), LETTERS, F.when(c.rlike(r"\p{N}"), pick("0123456789", v, 10)))
+        return F.when(c.rlike(r"[\p{L}\p{M}\p{N}]"), scripts.otherwise(pick("abcdefghijklmnopqrstuvwxyz", v, 26))).otherwise(c)
+
     def char(w, c, i):
         v = byte(w["d"], i)
         return (
@@ -109,10 +125,16 @@ def _surrogate(kind: Column, key: Column, turn: Column, secret: str) -> Column:
             .when(is_digit(c), pick("0123456789", v, 10))
             .when(c.between("a", "z"), pick("abcdefghijklmnopqrstuvwxyz", v, 26))
             .when(c.between("A", "Z"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", v, 26))
-            .otherwise(c)
+            .when(c < "\x7f", c)
+            .otherwise(foreign(c, v, byte(w["d"], i + 1)))
         )
 
     mapped = F.element_at(F.transform(F.array(whole), lambda w: F.array_join(F.transform(F.split(key, ""), lambda c, i: char(w, c, i + 1)), "")), 1)
+    # what has nothing to map is replaced in a fixed format, so that nothing of it stays and each turn gives another one
+    part = lambda i: F.substring(digest, i, 16)
+    fixed = F.when(kind == "email", F.concat(part(1), F.lit("@"), part(17), F.substring(key, F.length(key) - tail + 1, tail))).otherwise(part(1))
+    varies = F.substring(key, head + 1, F.length(key) - head - tail).rlike(r"[\p{L}\p{M}\p{N}]")
+    mapped = F.when(~varies, fixed).when(turn >= TURNS, F.concat(part(1), mapped)).otherwise(mapped)
     # the check digit of a card stays right
     body = F.substring(mapped, F.lit(1), F.length(mapped) - 1)
     check = F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
@@ -140,6 +162,8 @@ def _written(raw: Column, kind: Column, parts: Column) -> Column:
     put = lambda i: F.when(~solid(char(i)) | (right(i) > F.length(bare)), char(i)).when(char(i).between("A", "Z"), F.upper(from_right(i))).otherwise(from_right(i))
     like_raw = F.array_join(F.transform(F.sequence(F.lit(1), n), put), "")
     head = F.regexp_extract(raw, rf"^(?:(?:{_ALL})\.? |{_HEAD[1:]})", 0)
+    # a surrogate that is longer than the entity does not fit its way of writing
+    like_raw = F.when(F.length(bare) > right(F.lit(1)), new).otherwise(like_raw)
     return F.when(kind == "person", F.concat(head, F.array_join(F.transform(parts, F.initcap), " "))).when(kind == "secret", F.concat(head, new)).when(kind.isin("ip", "aws", "hex"), new).otherwise(like_raw)
 
 
