@@ -161,11 +161,12 @@ def lines(n, tag, rng):
 
 
 def test_patience():
-    assert linededup.patience([1, 2, 3], [1, 2, 3]) == [0, 1, 2]
-    assert linededup.patience([9, 1, 2, 8], [1, 2]) == [1, 2]
-    assert linededup.patience([1, 2, 3, 4], [3, 4, 1, 2]) in ([0, 1], [2, 3])
-    assert linededup.patience([5, 1, 5, 2, 5], [5, 1, 5, 2, 5]) == [0, 1, 2, 3, 4]
-    assert linededup.patience([], [1]) == [] and linededup.patience([1, 1], [2]) == []
+    at = lambda x, y: [i for i, _ in linededup.patience(x, y)]
+    assert at([1, 2, 3], [1, 2, 3]) == [0, 1, 2]
+    assert linededup.patience([9, 1, 2, 8], [1, 2]) == [(1, 0), (2, 1)]
+    assert at([1, 2, 3, 4], [3, 4, 1, 2]) in ([0, 1], [2, 3])
+    assert at([5, 1, 5, 2, 5], [5, 1, 5, 2, 5]) == [0, 1, 2, 3, 4]
+    assert at([], [1]) == [] and at([1, 1], [2]) == []
 
 
 @pytest.mark.parametrize("seed", range(20))
@@ -173,10 +174,121 @@ def test_patience_is_an_alignment(seed):
     rng = random.Random(seed)
     x, y = ([rng.randint(0, 12) for _ in range(rng.randint(0, 25))] for _ in range(2))
     got = linededup.patience(x, y)
-    at = 0
-    for i in got:  # aligned lines occur in y in this order
-        at = y.index(x[i], at) + 1
-    assert got == sorted(set(got))
+    assert all(x[i] == y[j] for i, j in got)
+    assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:]))
+
+
+def units(text):
+    """The lines of a text as (words, text), worked out character by character."""
+    lone = lambda c: 0x0E00 <= ord(c) < 0x1000 or 0x1000 <= ord(c) < 0x10C0 or 0x1780 <= ord(c) < 0x1800 or 0x3000 <= ord(c) < 0xA000
+    words = []  # [start, text]
+    for i, c in enumerate(text):
+        if c in " \t\n\x0b\x0c\r":
+            continue
+        if i and text[i - 1] not in " \t\n\x0b\x0c\r" and not lone(c) and not lone(text[i - 1]):
+            words[-1][1] += c
+        else:
+            words.append([i, c])
+    out, own = [], []
+    for k, (i, w) in enumerate(words):
+        own.append(w)
+        end = words[k + 1][0] if k + 1 < len(words) else len(text)
+        gap = text[i + len(w) : end]
+        raw = np.frombuffer(w.encode(), np.uint8)
+        hashed = linededup.mix(linededup.hash_words(raw, np.array([0]), np.array([len(raw)])), 9)[0] % np.uint64(linededup.ONE_IN) == 0
+        if "\n" in gap or (w[-1] in ".?!" and gap) or hashed or len(own) == linededup.MOST_WORDS or k + 1 == len(words):
+            out.append((tuple(own), end))
+            own = []
+    return out
+
+
+def brute_dedup(rows):
+    """All pairs: lines in a run of 20 words or more that stands in an earlier document too."""
+    cut = {i: units(t) for i, t in rows if t}
+    out = {}
+    for i, text in rows:
+        gone = [False] * len(cut.get(i, ()))
+        for j in cut:
+            if i in cut and j < i:
+                x, y = [u for u, _ in cut[i]], [u for u, _ in cut[j]]
+                where = {}
+                for b, u in enumerate(y):
+                    where.setdefault(u, []).append(b)
+                for d in {a - b for a, u in enumerate(x) for b in where.get(u, ())}:  # the diagonals
+                    run = []
+                    for a in range(max(0, d), min(len(x), len(y) + d) + 1):
+                        if a < min(len(x), len(y) + d) and x[a] == y[a - d]:
+                            run.append(a)
+                            continue
+                        if sum(len(x[b]) for b in run) >= 20:
+                            for b in run:
+                                gone[b] = True
+                        run = []
+        kept, at = "", 0
+        for (_, end), g in zip(cut.get(i, ()), gone):
+            kept += "" if g else text[at:end]
+            at = end
+        out[i] = (kept.rstrip() if gone[-1] else kept) if any(gone) else text
+    return out
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", "a\n", "\n\na. b! c?  d.\n", "x. \n. y", "a\0b. c\n\0", "é. ü\n", "日本語 テキスト。abc日本x", "ไทย\tab", "\t\t a" + " b" * 100])
+def test_cut(text):
+    """The same lines as character by character, alone and between others."""
+    for texts, at in (([text], 0), (["x y.", text, "", "z"], 1)):
+        h, w, size = linededup.cut([t.encode() for t in texts])[at]
+        want = units(text)
+        assert w.tolist() == [len(u) for u, _ in want] and len(h) == len(want)
+        ends = np.cumsum(size).tolist()
+        assert ends == [len(text[:e].encode()) for _, e in want]
+
+
+def dedup(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
+
+
+@pytest.mark.parametrize("portion", [1_000_000, 40])
+def test_lines_against_all_pairs(spark, monkeypatch, portion):
+    """Passages whole, cut, moved, repeated and spread over earlier documents, in scripts with and without spaces."""
+    monkeypatch.setattr(linededup, "PORTION", portion)
+    rng = random.Random(11)
+    pool = lines(14, "w", rng) + [" ".join(f"s{rng.randint(0, 20)}" for _ in range(4)) for _ in range(6)] + ["".join(rng.choices("日本語書字文", k=30)) for _ in range(4)]
+    texts = [None, "", "  "]
+    for _ in range(60):
+        at = rng.randrange(len(pool))
+        block = pool[at : at + rng.randint(1, 6)]
+        own = lines(rng.randint(0, 3), "o", rng)
+        parts = [own, block, rng.sample(pool, 3), block[:2] * 2]
+        rng.shuffle(parts)
+        texts.append(rng.choice(["\n", " ", ". "]).join(x for p in parts for x in p))
+    rows = list(enumerate(texts))
+    assert dedup(spark, texts) == brute_dedup(rows)
+
+
+def test_generated_lines_against_all_pairs(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    rows = [(i, t) for i, t in rows if len(t or "") < 6000]  # the brute force is quadratic in lines
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_dedup(rows)
+
+
+def test_earlier_holders_of_single_lines(spark):
+    """Each line of a passage stands in an earlier document of its own; the passage goes from the later of two all the same."""
+    rng = random.Random(3)
+    passage = [" ".join(f"p{rng.randint(0, 9999)}" for _ in range(8)) for _ in range(6)]
+    texts = [line + "\n" + lines(1, "q", rng)[0] for line in passage] + ["\n".join(passage)] * 2
+    got = dedup(spark, texts)
+    assert got[7] == "" and all(got[i] == texts[i] for i in range(7))
+
+
+def test_scripts_without_spaces_and_tabs(spark):
+    rng = random.Random(5)
+    chinese = "\n".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(25)) for _ in range(40))
+    tabs = "\n".join("\t".join(f"t{rng.randint(0, 9999)}" for _ in range(9)) for _ in range(5))
+    endless = " ".join(f"e{rng.randint(0, 99999)}" for _ in range(400))
+    got = dedup(spark, [chinese, chinese, tabs, "x\n" + tabs, "before " + endless, endless + " after all"])
+    assert got[1] == "" and got[3].strip() == "x" and len(got[5].split()) < 40 and got[4] == "before " + endless
 
 
 def test_repeated_blocks_go(spark):
@@ -184,15 +296,17 @@ def test_repeated_blocks_go(spark):
     passage, own = lines(5, "p", rng), [lines(4, f"d{i}_", rng) for i in range(8)]
     short = "one two three four"
     texts = [own[0] + passage, passage[:2] + own[1] + passage[2:], [short] + own[2], own[3] + [short], own[0] + passage, own[5], own[5][:1] + own[6], own[7]]
-    rows = [(i, "\n".join(t), "k") for i, t in enumerate(texts)] + [(20, None, None), (21, "", None), (None, "\n".join(passage), None), (3, "\n".join(texts[3]), "k")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, gone string")
-    got = linededup.dedup_lines(docs, removed_col="n").collect()
+    rows = [(i, "\n".join(t), "k", 5) for i, t in enumerate(texts)] + [(20, None, None, 5), (21, "", None, 5), (None, "\n".join(passage), None, 5), (3, "\n".join(texts[3]), "k", 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, gone string, n int")
+    out = linededup.dedup_lines(docs, removed_col="n")
+    assert out.columns == ["doc_id", "text", "gone", "n"]
+    got = out.collect()
     assert len(got) == len(rows)
     by = {r["doc_id"]: r for r in got}
     assert by[0]["text"] == rows[0][1] and by[0]["n"] == 0
-    assert by[1]["text"] == "\n".join(own[1][:]) and by[1]["n"] == 5
+    assert by[1]["text"] == "\n".join(own[1][:]) and by[1]["n"] == sum(len(x) + 1 for x in passage) - 1
     assert by[2]["text"] == rows[2][1] and by[3]["text"] == rows[3][1]  # too short a block
-    assert by[4]["text"] == "" and by[4]["n"] == 9
+    assert by[4]["text"] == "" and by[4]["n"] == len(rows[0][1])
     assert by[6]["text"] == rows[6][1]  # twelve words
     assert by[7]["gone"] == "k" and by[20]["text"] is None and by[21]["text"] == "" and by[None]["n"] == 0
 
@@ -203,19 +317,7 @@ def test_passage_inside_a_paragraph(spark):
     passage = " ".join(sentence("p") for _ in range(7))
     a, b = " ".join(sentence("a") for _ in range(4)), " ".join(sentence("b") for _ in range(4))
     texts = [a + " " + passage + " " + sentence("a") + "\nlast", b + " " + passage + " " + b.replace("b", "c"), "plain. text! with? ends. " * 3]
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
-    assert got == {0: texts[0], 1: b + " " + b.replace("b", "c"), 2: texts[2]}
-
-
-@pytest.mark.parametrize("text", ["", "a", "a\n", "\n\na. b! c?  d.\n", "x. \n. y", "a\0b. c\n\0", "é. ü\n"])
-def test_cut(spark, text):
-    """The same lines in Python and in SQL."""
-    from pyspark.sql import functions as F
-
-    own = [x.decode() for x in linededup.cut(text.encode())]
-    assert "".join(own) == text
-    frame = spark.createDataFrame([(text,)], "t string").select(F.split("t", linededup.ENDS, -1))
-    assert frame.first()[0] == own
+    assert dedup(spark, texts) == {0: texts[0], 1: b + " " + b.replace("b", "c"), 2: texts[2]}
 
 
 def test_no_lines(spark):

@@ -40,7 +40,7 @@ def op5_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), removed_col="n_removed_lines")
+    return linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), removed_col="n_removed_bytes")
 
 
 def op7_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
