@@ -10,8 +10,7 @@ from tidemark.llm.common import Scratch, read_table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, _ = setjoin.jaccard_join(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
-    return documents
+    return setjoin.jaccard_join(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
 #: The key of the surrogates; a deployment brings its own.
@@ -75,7 +74,7 @@ ORACLE_SQL: dict[str, str] = {
         t AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, t.b FROM r JOIN t ON r.other = t.a),
         m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
-        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.class_id, m.component_id
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.class_id, m.component_id, (SELECT count(*) FROM t WHERE t.a = s.doc_id) AS n_links
         FROM s JOIN m ON s.doc_id = m.doc_id JOIN (
             SELECT doc_id, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(s)) END AS class_id FROM s) c ON s.doc_id = c.doc_id""",
     "op7_sorted_projections": """

@@ -3,20 +3,23 @@
 Two documents link when den * |X & Y| >= num * |X | Y| for their sets of word shingles.  The join is exact.
 
 1. Equal sets are one class; only its smallest id goes on.
-2. Tokens have one order: by hash, those in many documents last (the order is free, so a Bloom filter of
+2. *Answers from a similar set*: before any pairs are made, sets that share tokens with many others (of the SKETCH smallest
+   hashes of their set) choose a pivot, and are compared with it alone.  Those that link with it are its crowd.  All answers
+   within a crowd follow from the differences to the pivot, |X & Z| = |P| - |P-X| - |P-Z| + |(P-X) & (P-Z)| + |(X-P) & (Z-P)|,
+   counted block by block; no list makes such a pair.  Who does not link with its pivot chooses again, CHOICES times in all.
+3. Tokens have one order: by hash, those in many documents last (the order is free, so a Bloom filter of
    bounded size may say which).  Two sets that link share a token of their prefixes in this order.
-3. *Index lists by position*: a list holds, for a token, the sets that have it in their prefix, in blocks of one set size
+4. *Index lists by position*: a list holds, for a token, the sets that have it in their prefix, in blocks of one set size
    and sorted by position in a block.  A set skips the blocks whose size cannot link, and, of a block, all entries beyond
-   the position from which on too few tokens are left.
-4. *Answers from a similar set*: in a list of many sets that are alike, one of them, the pivot, is compared with the
-   others in full; every other answer follows from the differences to the pivot, |X & Z| = |P| - |P-X| - |P-Z| +
-   |(P-X) & (P-Z)| + |(X-P) & (Z-P)|, and pairs that are both linked to the pivot need no answer to be in one component.
-5. Other pairs are thinned out by parity bitmaps (a lower bound of the symmetric difference, so nothing is lost) and
-   compared in full.
+   the position from which on too few tokens are left, and all entries of its own crowd.
+5. Pairs of different crowds are thinned out by parity bitmaps (a lower bound of the symmetric difference, so nothing is lost)
+   and compared in full.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,12 +30,12 @@ from tidemark.llm.shingles import mix, shingle_sets
 
 #: A token in so many documents goes to the end of the order.
 HOT = 30
-#: Bits of the two Bloom filters that are sent to all tasks: 2 MB each, whatever the input's size.
-BLOOM_BITS = 1 << 24
-#: A list of more entries is worked on in pairs of blocks; U and V of a pivot's group are cut into blocks of the second size.
-LIST_ENTRIES, GROUP_BLOCK = 4096, 256
-#: More pairs than this for each entry make a list dense.
-DENSE = 8
+#: Bits of a Bloom filter that is sent to all tasks: 16 for each value, between these bounds (32 MB); a fuller one passes more.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: A list of more entries is worked on in blocks; so are crowds of more members.
+LIST_ENTRIES, GROUP_BLOCK = 4096, 1024
+#: Tokens of a set that look for a crowd, sets that make one, and how often a set chooses a pivot.
+SKETCH, CROWD, CHOICES = 3, 8, 3
 
 
 class Rule:
@@ -56,17 +59,18 @@ class Rule:
 # -- Bloom filters of bounded size --
 
 
-def _bits(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return mix(values, 21) % np.uint64(BLOOM_BITS), mix(values, 22) % np.uint64(BLOOM_BITS)
+def _bits(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return mix(values, 21) % np.uint64(bits), mix(values, 22) % np.uint64(bits)
 
 
 def bloom(values: DataFrame) -> np.ndarray:
-    """Bits of the values of one long column; at most BLOOM_BITS / 64 rows come to the driver."""
+    """Bits of the distinct values of one long column, read from files; at most MOST_BITS / 64 rows come to the driver."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << int(16 * values.count()).bit_length()))
 
     def words(batches):
-        held = np.zeros(BLOOM_BITS, bool)
+        held = np.zeros(size, bool)
         for b in batches:
-            for at in _bits(b.column(0).to_numpy(zero_copy_only=False).view("<u8")):
+            for at in _bits(b.column(0).to_numpy(zero_copy_only=False).view("<u8"), size):
                 held[at] = True
         packed = np.packbits(held, bitorder="little").view("<i8")
         used = np.flatnonzero(packed)
@@ -75,13 +79,13 @@ def bloom(values: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(packed[part])], names=["place", "bits"])
 
     rows = values.mapInArrow(words, "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(BLOOM_BITS // 64, "<i8")
+    out = np.zeros(size // 64, "<i8")
     out[rows["place"].to_numpy("int64")] = rows["bits"].to_numpy("int64")
     return out.view(np.uint8)
 
 
 def may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    a, b = _bits(values)
+    a, b = _bits(values, 8 * len(bits))
     hit = lambda at: bits[(at >> np.uint64(3)).astype("int64")] >> (at & np.uint64(7)).astype(np.uint8) & 1
     return (hit(a) & hit(b)).astype(bool)
 
@@ -145,17 +149,18 @@ def frequent_tokens(docs: DataFrame, k: int, cut: int) -> DataFrame:
 
 
 def describe(docs: DataFrame, k: int, rule: Rule, cut: int, hot: np.ndarray) -> DataFrame:
-    """(id, n, f1, f2, prefix, bitmap) of each row: size, fingerprint, prefix tokens in order, parity bitmap."""
+    """(id, n, f1, f2, prefix, bitmap, sketch) of each row: size, fingerprint, prefix tokens in order, parity bitmap, smallest tokens."""
     known = docs.sparkSession.sparkContext.broadcast(hot)
-    names = ["id", "n", "f1", "f2", "prefix", "bitmap"]
+    names = ["id", "n", "f1", "f2", "prefix", "bitmap", "sketch"]
 
     def run(batches):
         bits = known.value
         for batch in batches:
-            n, f1, f2, prefix, bitmap = [], [], [], [], []
+            n, f1, f2, prefix, bitmap, sketch = [], [], [], [], [], []
             for own in _sets_of(batch, k):
                 size = len(own)
                 n.append(size)
+                sketch.append(own[:SKETCH].tobytes())
                 with np.errstate(over="ignore"):
                     f1.append(int(mix(own, 1).sum(dtype="<u8").view("<i8")))
                     f2.append(int(mix(own, 2).sum(dtype="<u8").view("<i8")))
@@ -168,28 +173,29 @@ def describe(docs: DataFrame, k: int, rule: Rule, cut: int, hot: np.ndarray) ->
                 order = np.concatenate([own[:below][~is_hot], own[below:], own[:below][is_hot]])
                 prefix.append(order[: rule.prefix(size)].tobytes())
                 bitmap.append(parity(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bitmap, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bitmap, pa.binary()), pa.array(sketch, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, prefix binary, bitmap binary")
+    return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, prefix binary, bitmap binary, sketch binary")
 
 
 def entries_of(reps: DataFrame) -> DataFrame:
-    """(token, id, n, pos): a row for each prefix token."""
+    """(token, id, n, crowd, pos): a row for each prefix token."""
 
     def run(batches):
         for batch in batches:
-            ids, ns = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            ids, ns, crowds = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
             for lo in range(0, len(ids), 500):
-                parts = [np.frombuffer(p, "<i8") for p in batch.column(2)[lo : lo + 500].to_pylist()]
+                parts = [np.frombuffer(p, "<i8") for p in batch.column(3)[lo : lo + 500].to_pylist()]
                 sizes = np.array([len(p) for p in parts])
                 pos = np.concatenate([np.arange(s, dtype="int32") for s in sizes])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(ids[lo : lo + 500], sizes)), pa.array(np.repeat(ns[lo : lo + 500], sizes).astype("int32")), pa.array(pos)], names=["token", "id", "n", "pos"])
+                put = lambda v: pa.array(np.repeat(v[lo : lo + 500], sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), put(ids), put(ns.astype("int32")), put(crowds), pa.array(pos)], names=["token", "id", "n", "crowd", "pos"])
 
-    return reps.select("id", "n", "prefix").where("n > 0").mapInArrow(run, "token bigint, id bigint, n int, pos int")
+    return reps.select("id", "n", "crowd", "prefix").where("n > 0").mapInArrow(run, "token bigint, id bigint, n int, crowd bigint, pos int")
 
 
 def long_lists(reps: DataFrame) -> DataFrame:
-    """(long, parts): tokens whose list has more than LIST_ENTRIES entries, and the blocks to cut it into.
+    """(long): tokens whose list has more than LIST_ENTRIES entries.
 
     A task passes on what it has seen twice or more among about two million entries, so almost nothing is shuffled; a list
     can thus be longer than LIST_ENTRIES by no more than the number of such portions.
@@ -216,7 +222,28 @@ def long_lists(reps: DataFrame) -> DataFrame:
 
     counts = reps.select("prefix").where("octet_length(prefix) > 0").mapInArrow(count, "token bigint, m bigint")
     counts = counts.groupBy("token").agg(F.sum("m").alias("m")).where(F.col("m") > LIST_ENTRIES)
-    return counts.select(F.col("token").alias("long"), F.ceil(2 * F.col("m") / LIST_ENTRIES).cast("int").alias("parts"))
+    return counts.select(F.col("token").alias("long"))
+
+
+def cut_lists(entries: DataFrame, long: DataFrame, scratch: Scratch) -> DataFrame:
+    """Entries with the block of their list that they are worked on in: all pairs of different crowds meet in some block.
+
+    Of a long list the entries of its largest crowd, which make no pairs among themselves, are dealt out, and the others
+    go to all blocks.  Where the others alone make a long list, blocks meet in pairs (i, j), i <= j.  A list of a
+    single crowd has no pairs and goes.
+    """
+    if long.isEmpty():
+        return entries.withColumn("block", F.lit(0))
+    own = entries.join(long, F.col("token") == F.col("long"), "left_semi").groupBy("token", "crowd").agg(F.count("*").alias("m"))
+    own = own.groupBy("token").agg(F.sum("m").alias("m"), F.max(F.struct("m", "crowd")).alias("top"))
+    rest = F.col("m") - F.col("top.m")
+    cut = own.select(F.col("token").alias("long"), F.col("top.crowd").alias("top"), rest.alias("rest"), F.ceil(F.col("m") / LIST_ENTRIES).cast("int").alias("parts"), F.ceil(2 * F.col("m") / LIST_ENTRIES).cast("int").alias("pairs"))
+    put = entries.join(scratch.write(cut, "long lists"), F.col("token") == F.col("long"), "left").where("rest is null or rest > 0")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    star = F.when(F.col("crowd") == F.col("top"), F.array(part("parts"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    pair = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("pairs") - 1), lambda j: F.least(part("pairs"), j) * F.col("pairs") + F.greatest(part("pairs"), j)))
+    blocks = F.when(F.col("rest").isNull(), F.array(F.lit(0))).when(F.col("rest") <= LIST_ENTRIES, star).otherwise(pair)
+    return put.select("token", "id", "n", "crowd", "pos", F.explode(blocks).alias("block"))
 
 
 def _runs(batches, columns: list[str], key: list[str]):
@@ -273,28 +300,51 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, rule: Rule) -> tuple[np.ndarray,
     return np.concatenate(big), np.concatenate(small)
 
 
+def cross_pairs(n: np.ndarray, pos: np.ndarray, crowd: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of entries of one list that position and size allow, of different crowds."""
+    names, count = np.unique(crowd, return_counts=True)
+    if len(names) == 1:
+        return np.zeros(0, "int64"), np.zeros(0, "int64")
+    others = np.flatnonzero(crowd != names[count.argmax()])
+    if 4 * len(others) > len(n):
+        x, y = list_pairs(n, pos, rule)
+        keep = crowd[x] != crowd[y]
+        return x[keep], y[keep]
+    # one crowd is most of the list: the few others against all
+    left, right, at = [], [], np.arange(len(n))
+    is_other = np.zeros(len(n), bool)
+    is_other[others] = True
+    step = max(1, 500_000 // len(n))
+    for i in range(0, len(others), step):
+        a = others[i : i + step, None]
+        least = rule.overlap(n[a], n)
+        ok = (crowd[a] != crowd) & (n[a] - pos[a] >= least) & (n - pos >= least) & (np.minimum(n[a], n) >= rule.smallest(np.maximum(n[a], n)))
+        ok &= ~is_other | (at < a)  # a pair of two others once
+        x, y = np.nonzero(ok)
+        left.append(a[x, 0])
+        right.append(y)
+    return np.concatenate(left), np.concatenate(right)
+
+
 _SORTED = ["token", "block", "n", "pos", "id"]
 
 
 def scan_lists(entries: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of sparse lists (kind 0: a, b) and the entries of dense ones (kind 1: token, block, id as a, n, pos)."""
+    """Pairs (a, b) of different crowds that share a list and are allowed by size and position there."""
 
-    def emit(kind, token, block, a, b, n, pos):
-        m = len(a)
-        full = lambda v, t: np.full(m, v, t) if np.isscalar(v) else np.asarray(v).astype(t)
-        return pa.RecordBatch.from_arrays([pa.array(full(kind, "int32")), pa.array(full(token, "int64")), pa.array(full(block, "int32")), pa.array(full(a, "int64")), pa.array(full(b, "int64")), pa.array(full(n, "int32")), pa.array(full(pos, "int32"))], names=["kind", "token", "block", "a", "b", "n", "pos"])
+    def emit(a, b):
+        for i in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], names=["a", "b"])
 
     def run(batches):
-        for now in _runs(batches, _SORTED, ["token", "block"]):
+        for now in _runs(batches, [*_SORTED, "crowd"], ["token", "block"]):
             bounds = _bounds(now, ["token", "block"])
             length = np.diff(bounds)
-            keep = np.repeat(length > 1, length)
-            if not keep.any():
+            if not (length > 1).any():
                 continue
             short = np.repeat((length > 1) & (length <= 12), length)
             own = np.repeat(np.arange(len(length)), length)[short]
-            n, pos, ids = (now[c][short].astype("int64") for c in ("n", "pos", "id"))
-            found_a, found_b = [], []
+            n, pos, ids, crowd = (now[c][short].astype("int64") for c in ("n", "pos", "id", "crowd"))
             for d in range(1, 12):  # all short lists at once: each entry with the d-th before it
                 x, y = slice(d, None), slice(0, max(0, len(own) - d))
                 same = own[x] == own[y]
@@ -302,77 +352,16 @@ def scan_lists(entries: DataFrame, rule: Rule) -> DataFrame:
                     break
                 nx, ny = n[x], n[y]
                 least = rule.overlap(nx, ny)
-                ok = same & (ny >= rule.smallest(nx)) & (nx - pos[x] >= least) & (ny - pos[y] >= least)
-                found_a.append(ids[x][ok])
-                found_b.append(ids[y][ok])
-            if found_a:
-                a, b = np.concatenate(found_a), np.concatenate(found_b)
-                yield emit(0, 0, 0, a, b, 0, 0)
+                ok = same & (crowd[x] != crowd[y]) & (ny >= rule.smallest(nx)) & (nx - pos[x] >= least) & (ny - pos[y] >= least)
+                yield from emit(ids[x][ok], ids[y][ok])
             for i in np.flatnonzero(length > 12).tolist():
                 part = slice(bounds[i], bounds[i + 1])
-                n, pos, ids = (now[c][part].astype("int64") for c in ("n", "pos", "id"))
-                x, y = list_pairs(n, pos, rule)
-                if len(x) > DENSE * len(n):
-                    yield emit(1, now["token"][part], now["block"][part], ids, ids, n, pos)
-                elif len(x):
-                    yield emit(0, 0, 0, ids[x], ids[y], 0, 0)
+                n, pos, ids, crowd = (now[c][part].astype("int64") for c in ("n", "pos", "id", "crowd"))
+                x, y = cross_pairs(n, pos, crowd, rule)
+                yield from emit(ids[x], ids[y])
 
     placed = entries.repartition("token", "block").sortWithinPartitions(*_SORTED)
-    return placed.mapInArrow(run, "kind int, token bigint, block int, a bigint, b bigint, n int, pos int")
-
-
-def cover_dense(dense: DataFrame, rule: Rule) -> DataFrame:
-    """Pivots for dense lists: kind 2 (pivot a, member b) so that each pair that bitmaps allow has both ends in one
-    pivot's group, or is given as kind 0 itself.
-
-    A pivot is chosen among the entries with most allowed partners; that with the smallest id, so that the lists of
-    one group of alike documents choose the same.
-    """
-
-    def run(batches):
-        for now in _runs(batches, [*_SORTED, "bitmap"], ["token", "block"]):
-            bounds = _bounds(now, ["token", "block"])
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                n, pos, ids = (now[c][lo:hi].astype("int64") for c in ("n", "pos", "id"))
-                maps = now["bitmap"][lo:hi]
-                words = np.array([len(m) // 8 for m in maps])
-                x, y = list_pairs(n, pos, rule)
-                allowed = np.zeros(len(x), bool)
-                for w in np.unique(words).tolist():  # sizes that can link differ by one power of two at most
-                    rows = np.flatnonzero(words == w)
-                    table = np.zeros((len(n), w), "<u8")
-                    for i in np.flatnonzero(words >= w):
-                        if words[i] <= 4 * w:
-                            table[i] = fold(np.frombuffer(maps[i], "<u8"), w)
-                    of = np.flatnonzero(words[y] == w)
-                    for s in range(0, len(of), 100_000):
-                        at = of[s : s + 100_000]
-                        far = np.bitwise_count(table[x[at]] ^ table[y[at]]).sum(1)
-                        allowed[at] = far <= n[x[at]] + n[y[at]] - 2 * rule.overlap(n[x[at]], n[y[at]])
-                    del rows
-                near = np.zeros((len(n), len(n)), bool)
-                near[x[allowed], y[allowed]] = near[y[allowed], x[allowed]] = True
-                kinds, first, second = [], [], []
-                while True:
-                    degree = near.sum(1)
-                    if degree.sum() <= 4 * (degree > 0).sum():
-                        break
-                    most = np.flatnonzero(degree * 10 >= degree.max() * 9)
-                    pivot = most[np.argmin(ids[most])]
-                    group = np.flatnonzero(near[pivot])
-                    kinds.append(np.full(len(group), 2))
-                    first.append(np.full(len(group), ids[pivot]))
-                    second.append(ids[group])
-                    group = np.append(group, pivot)
-                    near[np.ix_(group, group)] = False
-                x, y = np.nonzero(np.tril(near))
-                kinds.append(np.zeros(len(x), "int64"))
-                first.append(ids[x])
-                second.append(ids[y])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds).astype("int32")), pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], names=["kind", "a", "b"])
-
-    placed = dense.repartition("token", "block").sortWithinPartitions(*_SORTED)
-    return placed.mapInArrow(run, "kind int, a bigint, b bigint")
+    return placed.mapInArrow(run, "a bigint, b bigint")
 
 
 def allowed_pairs(pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -452,118 +441,135 @@ def differences(members: DataFrame, rule: Rule) -> DataFrame:
     return members.mapInArrow(run, "pivot bigint, id bigint, n bigint, np bigint, linked boolean, less binary, more binary")
 
 
-def derived_links(diffs: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
-    """Links (a, b, overlap) of members that are not linked to their pivot, with members of its group, from differences alone.
+def crowds_of(rows: DataFrame, reps: DataFrame, k: int, rule: Rule, scratch: Scratch) -> DataFrame:
+    """(pivot, id, n, np, linked, less, more): the members of crowds, all linked to their pivot, and pivots with no difference."""
 
-    Blocks of such members meet blocks of the group; of the links in a pair of blocks a spanning forest is returned.
+    def tokens(batches):
+        for batch in batches:
+            parts = [np.frombuffer(p, "<i8") for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(p) for p in parts]))], names=["token", "id"])
+
+    looking = scratch.write(reps.select("id", "sketch").mapInArrow(tokens, "token bigint, id bigint"), "looking")
+
+    def choose(looking):
+        crowds = looking.groupBy("token").agg(F.min("id").alias("first"), F.count("*").alias("m")).where(F.col("m") >= CROWD)
+        best = looking.join(crowds.withColumnRenamed("token", "of"), F.col("token") == F.col("of")).groupBy("id").agg(F.max(F.struct("m", (-F.col("first")).alias("minus"))).alias("best"))
+        best = scratch.write(best.select("id", (-F.col("best.minus")).alias("pivot")), "choices")
+        heads = best.select(F.col("pivot").alias("head")).distinct()
+        return scratch.write(best.join(heads, F.col("id") == F.col("head"), "left_anti"), "chosen")
+
+    chosen, found, sets = choose(looking), [], None
+    for turn in range(CHOICES):
+        if chosen.isEmpty():
+            break
+        if sets is None:
+            wanted = scratch.write(chosen.select("id").union(chosen.select("pivot")).distinct(), "wanted ids")
+            sets = scratch.write(wanted_sets(rows, k, bloom(wanted)).dropDuplicates(), "crowd sets")
+        pairs = chosen.join(sets.select(F.col("sid").alias("id"), F.col("tokens").alias("ti")), "id").join(sets.select(F.col("sid").alias("pivot"), F.col("tokens").alias("tp")), "pivot")
+        found.append(scratch.write(differences(pairs, rule), "differences"))
+        if turn + 1 < CHOICES:
+            lost = found[-1].where("not linked").select(F.col("id").alias("lost"))
+            looking = scratch.write(looking.join(lost, F.col("id") == F.col("lost"), "left_semi"), "looking")
+            chosen = choose(looking)
+    if not found:
+        return differences(reps.sparkSession.createDataFrame([], "pivot bigint, id bigint, tp binary, ti binary"), rule)
+    # rows that share an id but not the text may link and not link; one row for each id
+    members = reduce(DataFrame.union, found).where("linked").dropDuplicates(["id"])
+    heads = members.groupBy("pivot").agg(F.max("np").alias("np"))
+    empty = F.lit(b"")
+    heads = heads.select("pivot", F.col("pivot").alias("id"), F.col("np").alias("n"), "np", F.lit(True).alias("linked"), empty.alias("less"), empty.alias("more"))
+    return scratch.write(members.union(heads), "crowds")
+
+
+def links_in_crowds(members: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
+    """(id, links): for each member of a crowd how many rows of other members it links with, from differences alone.
+
+    ``members`` has ``size``, the rows of a member's class.  Blocks of a crowd meet in pairs (i, j), i <= j.
     """
-    sizes = diffs.groupBy("pivot").agg(F.count("*").alias("members"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("open"))
-    sizes = scratch.write(sizes.where("open > 0").select(F.col("pivot").alias("of"), F.ceil(F.col("members") / GROUP_BLOCK).cast("int").alias("vs"), F.ceil(F.col("open") / GROUP_BLOCK).cast("int").alias("us")), "sizes")
-    own = scratch.write(diffs.join(sizes, F.col("pivot") == F.col("of")).drop("of"), "open")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["pivot", "id", "n", "np", "less", "more"]
-    u = own.where("not linked").select(*cols, F.lit(True).alias("is_u"), F.pmod(F.xxhash64("id"), F.col("us")).cast("int").alias("ub"), spread("vs").alias("vb"))
-    v = own.select(*cols, F.lit(False).alias("is_u"), spread("us").alias("ub"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("vs")).cast("int").alias("vb"))
+    sizes = scratch.write(members.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("parts")).withColumnRenamed("pivot", "of"), "crowd sizes")
+    own = members.join(sizes, F.col("pivot") == F.col("of")).drop("of").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+    blocks = own.select("pivot", "id", "n", "np", "less", "more", "size", "part", F.explode(F.array_distinct(meet)).alias("pair")).select("*", "pair.i", "pair.j").drop("pair")
 
     def compare(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        us, vs = [r for r in rows if r["is_u"]], [r for r in rows if not r["is_u"]]
-        a, b, n = [], [], []
-        if us and vs:
-            size = rows[0]["np"]
-            owner = np.repeat(np.arange(len(rows)), [(len(r["less"]) + len(r["more"])) // 8 for r in us + vs])
-            # a token that the pivot lacks and one that it has are never the same, so both kinds share one numbering
-            tokens = np.frombuffer(b"".join(r["less"] + r["more"] for r in us + vs), "<u8")
-            number, held = np.unique(tokens, return_inverse=True)
-            both = np.zeros((len(us), len(vs)), "float32")
-            for s in range(0, len(number), 8192):
-                part = (held >= s) & (held < s + 8192)
-                table_ = np.zeros((len(rows), min(8192, len(number) - s)), "float32")
-                table_[owner[part], held[part] - s] = 1
-                both += table_[: len(us)] @ table_[len(us) :].T
-            lack = np.array([len(r["less"]) // 8 for r in us + vs])
-            overlap = size - lack[: len(us), None] - lack[None, len(us) :] + np.rint(both).astype("int64")
-            sizes_ = np.array([r["n"] for r in us + vs])
-            ids = np.array([r["id"] for r in us + vs])
-            good = (overlap >= rule.overlap(sizes_[: len(us), None], sizes_[None, len(us) :])) & (ids[: len(us), None] != ids[None, len(us) :])
-            head = {int(i): int(i) for i in ids}
-
-            def root(i):
-                while head[i] != i:
-                    head[i] = head[head[i]]
-                    i = head[i]
-                return i
-
-            for x, y in zip(*np.nonzero(good), strict=True):
-                p, q = int(ids[x]), int(ids[len(us) + y])
-                if root(p) != root(q):
-                    head[root(p)] = root(q)
-                    a.append(p)
-                    b.append(q)
-                    n.append(int(overlap[x, y]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "overlap": pa.array(n, pa.int64())})
-
-    return u.unionByName(v).groupBy("pivot", "ub", "vb").applyInArrow(compare, "a bigint, b bigint, overlap bigint")
-
-
-def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The join of a table with itself: (documents, links).
-
-    documents: doc_id, n_shingles, class_id (smallest id with an equal set), component_id (smallest id reachable by links) of
-    each row.  links: (a, b, overlap) between class representatives; of a group of alike documents those to its pivot
-    and, for others, spanning ones, so that every component is held together.
+        get = lambda c: table.column(c).to_numpy()
+        less, more = (table.column(c).to_pylist() for c in ("less", "more"))
+        lack = np.array([len(x) // 8 for x in less])
+        owner = np.repeat(np.arange(len(less)), lack + [len(x) // 8 for x in more])
+        # a token that the pivot lacks and one that it has are never the same, so both kinds share one numbering
+        number, held = np.unique(np.frombuffer(b"".join(x + y for x, y in zip(less, more, strict=True)), "<u8"), return_inverse=True)
+        n, ids, size, part = get("n"), get("id"), get("size"), get("part")
+        u = np.flatnonzero(part == get("i"))
+        v = np.flatnonzero(part == get("j"))
+        both = np.zeros((len(u), len(v)), "float32")
+        for s in range(0, len(number), 4096):
+            some = (held >= s) & (held < s + 4096)
+            held_by = np.zeros((len(less), min(4096, len(number) - s)), "float32")
+            held_by[owner[some], held[some] - s] = 1
+            both += held_by[u] @ held_by[v].T
+        overlap = get("np")[0] - lack[u][:, None] - lack[v] + np.rint(both).astype("int64")
+        good = (overlap >= rule.overlap(n[u][:, None], n[v])) & (ids[u][:, None] != ids[v])
+        links = np.zeros(len(less), "int64")
+        links[u] += good @ size[v]
+        if len(u) and len(v) and u[0] != v[0]:
+            links[v] += size[u] @ good
+        return pa.table({"id": pa.array(ids), "links": pa.array(links)})
+
+    return blocks.groupBy("pivot", "i", "j").applyInArrow(compare, "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The join of a table with itself, a row per row: doc_id, n_shingles, class_id, component_id, n_links.
+
+    class_id is the smallest id with an equal set, component_id the smallest id reachable by links, n_links the number of other
+    documents that a document links with, those with an equal set included.  Every link is counted; pairs are not listed, so a
+    crowd of copies does not cost its square in rows.
 
     A text that is null or has no word has an empty set: n_shingles 0, linked with nothing, its own class and component.
-    Rows without an id get null for both.  Rows that repeat an id are one document for links.  Other columns are
-    not read; an empty table gives empty results.
+    Rows without an id get null for both, and no links.  Rows that repeat an id and a text are one document for links; of rows that
+    repeat an id with other texts each text counts for n_links, and n_links may miss links of all but one of them.  Other columns
+    are not read; an empty table gives an empty result.
     """
     spark, rule = docs.sparkSession, Rule(num, den)
     scratch = Scratch(spark, "setjoin")
     rows = _docs(docs, id_col, text_col)
     cut = min((1 << 64) - 1, int((1 << 64) * min(1.0, 1.5 * (1 - num / den))))
-    hot = bloom(frequent_tokens(rows, k, cut))
+    hot = bloom(scratch.write(frequent_tokens(rows, k, cut), "hot"))
     told = scratch.write(describe(rows, k, rule, cut, hot), "sets")
-    some = told.where("n > 0 and id is not null")
-    classes = some.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")).select(F.col("n").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), "rep")
+    some = told.where("n > 0 and id is not null").select("n", "f1", "f2", "id").distinct()
+    classes = some.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("size")).select(F.col("n").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), "rep", "size")
     classes = scratch.write(classes, "classes")
     same = (F.col("n") == F.col("cn")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2"))
-    member = scratch.write(told.join(classes, same, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"), F.when(F.col("rep") == F.col("id"), F.col("prefix")).alias("prefix"), F.when(F.col("rep") == F.col("id"), F.col("bitmap")).alias("bitmap")), "members")
-    reps = member.where("prefix is not null").dropDuplicates(["id", "n", "prefix"])
-    reps = scratch.write(reps, "reps")
-
-    entries, long = entries_of(reps), scratch.write(long_lists(reps), "long")
-    if long.isEmpty():
-        blocks = entries.withColumn("block", F.lit(0))
-    else:
-        # blocks of a long list meet in pairs (i, j), i <= j; an entry goes to all pairs of its own block
-        put = entries.join(long, F.col("token") == F.col("long"), "left").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least("own", j) * F.col("parts") + F.greatest("own", j))
-        blocks = put.select("token", "id", "n", "pos", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(pair))).alias("block"))
-    scanned = scratch.write(scan_lists(blocks, rule), "scanned")
-    scratch.discard("sets", "classes", "long")
+    is_rep = F.col("rep") == F.col("id")
+    member = told.join(classes, same, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"), "size", *(F.when(is_rep, F.col(c)).alias(c) for c in ("prefix", "bitmap", "sketch")))
+    member = scratch.write(member, "members")
+    reps = scratch.write(member.where("prefix is not null").dropDuplicates(["id", "n", "prefix"]).drop("rep"), "reps")
+    sized = reps.groupBy("id").agg(F.max("size").alias("size")).withColumnRenamed("id", "sid")
+
+    crowds = crowds_of(rows, reps, k, rule, scratch)
+    of = crowds.select(F.col("id").alias("cid"), "pivot")
+    reps = scratch.write(reps.join(of, F.col("id") == F.col("cid"), "left").drop("cid").withColumn("crowd", F.coalesce("pivot", "id")), "reps in crowds")
+    inside = scratch.write(links_in_crowds(crowds.join(sized, F.col("id") == F.col("sid")).drop("sid"), scratch, rule), "inside")
+    entries = entries_of(reps)
+    scanned = scratch.write(scan_lists(cut_lists(entries, scratch.write(long_lists(reps), "long"), scratch), rule).where("a <> b").distinct(), "scanned")
+    scratch.discard("sets", "classes", "long", "looking", "choices", "chosen", "crowd sets", "long lists")
     bitmaps = reps.select(F.col("id").alias("bid"), F.col("n").cast("bigint").alias("bn"), "bitmap")
-    dense = scanned.where("kind = 1").select("token", "block", F.col("a").alias("id"), "n", "pos")
-    dense = dense.join(bitmaps, (F.col("id") == F.col("bid")) & (F.col("n") == F.col("bn"))).drop("bid", "bn")
-    covered = scratch.write(cover_dense(dense, rule), "covered")
-    direct = scanned.where("kind = 0").select("a", "b").where("a <> b").distinct()
-    with_a = direct.join(bitmaps.select(F.col("bid").alias("a"), F.col("bn").alias("na"), F.col("bitmap").alias("ma")), "a")
+    with_a = scanned.join(bitmaps.select(F.col("bid").alias("a"), F.col("bn").alias("na"), F.col("bitmap").alias("ma")), "a")
     with_b = with_a.join(bitmaps.select(F.col("bid").alias("b"), F.col("bn").alias("nb"), F.col("bitmap").alias("mb")), "b")
-    pairs = allowed_pairs(with_b, rule).union(covered.where("kind = 0").select("a", "b"))
-    pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    groups = scratch.write(covered.where("kind = 2 and a <> b").select(F.col("a").alias("pivot"), F.col("b").alias("id")).distinct(), "groups")
-
-    scratch.discard("scanned", "covered")
-    wanted = pairs.select("a").union(pairs.select("b")).union(groups.select("pivot")).union(groups.select("id"))
+    pairs = allowed_pairs(with_b, rule)
+    pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    scratch.discard("scanned", "reps", "reps in crowds")
+    wanted = scratch.write(pairs.select("a").union(pairs.select("b")).distinct(), "wanted ids")
     sets = scratch.write(wanted_sets(rows, k, bloom(wanted)).dropDuplicates(), "wanted")
     pair_sets = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
-    found = scratch.write(verified(pair_sets, rule), "found")
-    group_sets = groups.join(sets.select(F.col("sid").alias("id"), F.col("tokens").alias("ti")), "id").join(sets.select(F.col("sid").alias("pivot"), F.col("tokens").alias("tp")), "pivot")
-    diffs = scratch.write(differences(group_sets, rule), "differences")
-    near = diffs.where("linked").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"), (F.col("np") - F.octet_length("less") / 8).cast("bigint").alias("overlap"))
-    more = derived_links(diffs, scratch, rule).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap")
-    links = scratch.write(found.union(near).union(more).distinct(), "links")
-    scratch.discard("reps", "pairs", "groups", "wanted", "found", "differences", "sizes", "open")
-    components = connected_components(spark, links, scratch)
-    out = member.select("id", "n", "rep").join(components.select(F.col("id").alias("cid"), "component"), F.col("rep") == F.col("cid"), "left")
-    documents = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    return documents, links
+    found = scratch.write(verified(pair_sets, rule).select("a", "b").distinct(), "found")
+    scratch.discard("pairs", "wanted", "wanted ids")
+    components = connected_components(spark, found.union(crowds.select("pivot", "id").where("pivot <> id")), scratch)
+    both = found.union(found.select("b", "a")).toDF("id", "other")
+    count = member.where("prefix is not null").select(F.col("id").alias("sid"), "size").distinct().groupBy("sid").agg(F.max("size").alias("size"))
+    across = both.join(count, F.col("other") == F.col("sid")).groupBy("id").agg(F.sum("size").alias("links"))
+    links = scratch.write(across.unionByName(inside).groupBy(F.col("id").alias("lid")).agg(F.sum("links").alias("links")), "links")
+    out = member.select("id", "n", "rep", "size").join(components.select(F.col("id").alias("cid"), "component"), F.col("rep") == F.col("cid"), "left").join(links, F.col("rep") == F.col("lid"), "left")
+    n_links = F.when(F.col("id").isNull(), 0).otherwise(F.coalesce(F.col("size") - 1, F.lit(0)) + F.coalesce("links", F.lit(0)))
+    scratch.discard("differences", "crowds", "crowd sizes", "found")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"), n_links.cast("bigint").alias("n_links"))
