@@ -39,7 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group held together by links (five words, Jaccard 0.8) the document with the smallest id stays."""
     docs = docs.select(*COLUMNS)
-    groups, _ = setjoin.jaccard_join(docs, k=5, num=80, den=100)
+    groups = setjoin.jaccard_join(docs, k=5, num=80, den=100)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = Scratch(spark, "duplicates").write(gone, "gone")
     return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
