@@ -3,7 +3,7 @@
 Two documents link when den * |X & Y| >= num * |X | Y| for their sets of word shingles.  The join is exact.
 
 1. Equal sets are one class; only its smallest id goes on.
-2. *Answers from a similar set*: before any pairs are made, sets that share tokens with many others (of the SKETCH smallest
+2. *Answers from a similar set*: before any pairs are made, sets that share two tokens with many others (of the SKETCH smallest
    hashes of their set) choose a pivot, and are compared with it alone.  Those that link with it are its crowd.  All answers
    within a crowd follow from the differences to the pivot, |X & Z| = |P| - |P-X| - |P-Z| + |(P-X) & (P-Z)| + |(X-P) & (Z-P)|,
    counted block by block; no list makes such a pair.  Who does not link with its pivot chooses again, CHOICES times in all.
@@ -446,8 +446,13 @@ def crowds_of(rows: DataFrame, reps: DataFrame, k: int, rule: Rule, scratch: Scr
 
     def tokens(batches):
         for batch in batches:
-            parts = [np.frombuffer(p, "<i8") for p in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(p) for p in parts]))], names=["token", "id"])
+            parts = []
+            for p in batch.column(1).to_pylist():
+                own = np.frombuffer(p, "<u8")
+                # two tokens together: one alone is often boilerplate
+                x, y = np.triu_indices(len(own), 1)
+                parts.append(mix(own[x] + mix(own[y], 31), 32) if len(x) else own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view("<i8")), pa.array(np.repeat(batch.column(0).to_numpy(), [len(p) for p in parts]))], names=["token", "id"])
 
     looking = scratch.write(reps.select("id", "sketch").mapInArrow(tokens, "token bigint, id bigint"), "looking")
 
