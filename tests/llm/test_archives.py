@@ -40,6 +40,12 @@ def test_round_trip(spark):
             assert r["payload"] is None and r["refers_to"] == 502 and r["page_id"] in (500, 501)
     assert sum(r["record_type"] == "revisit" for r in got) == 2
     assert warc.read_archives(manifest, folder, payloads=False).where("record_type = 'revisit'").count() == 2
+    names, places = [], [r["path"] for r in manifest.collect()]
+    for path in places:
+        data = open(path, "rb").read()
+        assert int.from_bytes(data[4:8], "little") > 100  # a dictionary
+        names += [line for raw in warc.records(data) for line in raw.split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(set(names)) == len(names) == len(rows)
     scratch.drop()
 
 
@@ -80,3 +86,14 @@ def test_no_pages(spark):
     folder = scratch.path("files")
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.read_archives(warc.write_archives(empty, folder, scratch), folder).count() == 0
+
+
+def test_too_few_to_train(spark):
+    """Raw content stands in for a trained dictionary, and reads back; very long payloads too."""
+    assert warc.train([]) == b"" and warc.train([b"abc"] * 3) == b"abcabcabc"
+    scratch = Scratch(spark, "warc")
+    folder = scratch.path("files")
+    rows = [(1, "u", "<p>one</p>"), (2, "u", "y" * 3_000_000), (None, None, None)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), folder, scratch)
+    got = {r["page_id"]: r["payload"] for r in warc.read_archives(manifest, folder).collect()}
+    assert got == {1: b"<p>one</p>", 2: b"y" * 3_000_000, None: b""}

@@ -2,6 +2,7 @@
 
 A file starts with a skippable frame that holds a Zstandard dictionary, trained on archived records; each
 record after it is a frame of its own, compressed with that dictionary, so records can be read one by one.
+Where there are too few records to train on, the sample itself is the dictionary, as raw content.
 """
 
 from __future__ import annotations
@@ -43,20 +44,27 @@ def file_system(uri: str):
 # -- records --
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str) -> bytes:
-    """A WARC/1.1 record; a revisit keeps the HTTP head of the full payload and leaves the payload out."""
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or f"urn:x-page:{page_id}")
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str, name: str = "0", refers_url: str | None = None) -> bytes:
+    """A WARC/1.1 record; a revisit keeps the HTTP head of the full payload and leaves the payload out.
+
+    ``name`` tells records with one page_id, or none, apart; a revisit names its response by target and date, as the standard
+    proposes for equal payloads, and both carry page ids in fields of their own.
+    """
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:x-page:{page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:x-page:{page_id}:{name}>", f"X-Page-ID: {page_id}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_target(url, page_id)}"]
     head.append("WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())
     if refers_to is None:
         body += payload
     else:
-        head += [f"WARC-Refers-To: <urn:x-page:{refers_to}>", f"WARC-Profile: {_PROFILE}"]
+        head += [f"X-Refers-To-Page-ID: {refers_to}", f"WARC-Refers-To-Target-URI: {_target(refers_url, refers_to)}", f"WARC-Refers-To-Date: {DATE}", f"WARC-Profile: {_PROFILE}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def _target(url: str | None, page_id: int | None) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or f"urn:x-page:{page_id}")
+
+
 def parse(data: bytes) -> dict:
     """The fields of a record: page_id, url, payload (None for a revisit), payload_bytes, payload_digest, record_type, refers_to."""
     top, _, rest = data.partition(b"\r\n\r\n")
@@ -67,19 +75,19 @@ def parse(data: bytes) -> dict:
         raise ValueError("not a whole WARC record")
     http, _, payload = block.partition(b"\r\n\r\n")
     length = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
-    number = lambda urn: None if urn is None or urn.endswith(":None>") else int(urn[len("<urn:x-page:") : -1])
+    number = lambda field: None if head.get(field, "None") == "None" else int(head[field])
     revisit = head["WARC-Type"] == "revisit"
     digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     if not revisit and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"payload of {head['WARC-Record-ID']} does not fit its digest")
     return {
-        "page_id": number(head["WARC-Record-ID"]),
+        "page_id": number("X-Page-ID"),
         "url": head["WARC-Target-URI"],
         "payload": None if revisit else payload,
         "payload_bytes": length,
         "payload_digest": digest,
         "record_type": head["WARC-Type"],
-        "refers_to": number(head.get("WARC-Refers-To")),
+        "refers_to": number("X-Refers-To-Page-ID"),
     }
 
 
@@ -87,13 +95,14 @@ def parse(data: bytes) -> dict:
 
 
 def train(samples: list[bytes]) -> bytes:
-    """A dictionary from records; too few to train on give an empty one, and frames without dictionary."""
-    if sum(map(len, samples)) < 8 * 1024 or len(samples) < 8:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, samples)) // 8), samples).as_bytes()
-    except zstandard.ZstdError:  # samples too uniform or too small
-        return b""
+    """A dictionary from records; of too few, or too much alike, to train on, their bytes as raw content."""
+    size = min(DICT_BYTES, sum(map(len, samples)) // 8)
+    if size >= 1024 and len(samples) >= 8:
+        try:
+            return zstandard.train_dictionary(size, samples).as_bytes()
+        except zstandard.ZstdError:  # samples too uniform
+            pass
+    return b"".join(samples)[:DICT_BYTES]
 
 
 def dictionary_frame(dictionary: bytes) -> bytes:
@@ -142,22 +151,30 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, id_col="page
 
     Of rows with equal payloads (same SHA-1 and length) of at least LEAST_REVISIT bytes, that with the largest page_id is
     the response and the others revisit it; repeated rows with that very id are responses too.  Rows without an id are
-    responses.  A null html is an empty payload, a null url is replaced by a name made of the id.  An empty table
-    writes nothing.  A task that is run again writes files of another name; only files in the result count.
+    responses.  Each record has an id of its own.  A null html is an empty payload, a null url is replaced by a name made of the page's id.
+    An empty table writes nothing.  The dictionary is trained on the first SAMPLE_CHARS bytes of up to SAMPLE_RECORDS distinct
+    payloads, chosen by a hash; rows without an id are not among them.  A task that is run again writes files of another name; only files in the result count.
     """
     spark = pages.sparkSession
     rows = with_digests(pages, id_col, url_col, html_col)
-    groups = rows.where(f"payload_bytes >= {LEAST_REVISIT} and page_id is not null").groupBy("payload_digest", "payload_bytes")
-    # a table of its own: Spark can then split the rows of one hot payload in the join
-    groups = groups.agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), "target")
-    groups = scratch.write(groups, "groups")
+    hashed = rows.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n"), F.count("page_id").alias("named"))
+    # tables of their own: Spark can then split the rows of one hot payload in the join
+    hashed = scratch.write(hashed.select(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), F.col("top.page_id").alias("target"), F.col("top.url").alias("target_url"), "n", "named"), "payloads")
+    groups = scratch.write(hashed.where(f"b >= {LEAST_REVISIT} and target is not null and n > 1").drop("n", "named"), "groups")
     joined = rows.join(groups, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
     refers = F.when(F.col("target") != F.col("page_id"), F.col("target"))
-    plan = joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", refers.alias("refers_to"))
-    sample = rows.select("page_id", "url", F.substring("payload", 1, SAMPLE_CHARS).alias("part"), "payload_digest").orderBy(F.xxhash64("page_id", "payload_digest")).limit(SAMPLE_RECORDS)
-    # written first, so that the executors' candidates for the sample do not all come to the driver
-    sample = scratch.write(sample, "sample")
-    dictionary = train([record(r["page_id"], r["url"], bytes(r["part"]), None, r["payload_digest"]) for r in sample.collect()])
+    plan = joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", refers.alias("refers_to"), "target_url")
+    # payloads for the sample are picked by their digest, so that only these are read out
+    n = hashed.where("target is not null").count()
+    share = F.lit(min(1.0, 2 * SAMPLE_RECORDS / max(1, n)))
+    few = hashed.where("target is not null").where((F.pmod(F.xxhash64("d"), F.lit(1_000_003)) / 1_000_003) < share).orderBy(F.xxhash64("d"), "b").limit(SAMPLE_RECORDS).select("d", "target").collect()
+    dictionary = b""
+    if few:
+        picked = F.broadcast(spark.createDataFrame(few, "pd string, pid bigint"))  # SAMPLE_RECORDS at most
+        sample = rows.join(picked, (F.col("payload_digest") == F.col("pd")) & (F.col("page_id") == F.col("pid")))
+        sample = sample.groupBy("pd").agg(F.min(F.struct("page_id", "url", F.substring("payload", 1, SAMPLE_CHARS).alias("part"))).alias("r"))
+        sample = scratch.write(sample.select("r.*", "pd"), "sample").orderBy(F.xxhash64("pd"), "pd").collect()
+        dictionary = train([record(r["page_id"], r["url"], bytes(r["part"]), None, r["pd"]) for r in sample])
 
     def write(batches):
         files, base = file_system(folder)
@@ -180,10 +197,10 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, id_col="page
             for r in batch.to_pylist():
                 if out is None:
                     name = f"{base}/{task.partitionId():06d}-{part:03d}-{uuid.uuid4().hex[:8]}.warc.zst"
-                    out, part, n, size = files.open_output_stream(name), part + 1, 0, 0
+                    out, part, n, size = files.open_output_stream(name, compression=None), part + 1, 0, 0
                     size += out.write(dictionary_frame(dictionary))
-                payload = r["payload"] if r["payload"] is not None else bytes(0)
-                data = record(r["page_id"], r["url"], payload, None, r["payload_digest"]) if r["refers_to"] is None else revisit(r)
+                payload = _Length(r["payload_bytes"]) if r["refers_to"] is not None else r["payload"]
+                data = record(r["page_id"], r["url"], payload, r["refers_to"], r["payload_digest"], f"{task.partitionId()}-{part}-{n}", r["target_url"])
                 size += out.write(packer.compress(data))
                 n += 1
                 if size >= FILE_BYTES:
@@ -205,10 +222,6 @@ class _Length:
         return self.n
 
 
-def revisit(r: dict) -> bytes:
-    return record(r["page_id"], r["url"], _Length(r["payload_bytes"]), r["refers_to"], r["payload_digest"])
-
-
 _READ = pa.schema(
     [("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
 )
@@ -225,7 +238,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
         files, _ = file_system(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with files.open_input_stream(path) as f:
+                with files.open_input_stream(path, compression=None) as f:
                     data = f.read()
                 rows, size = [], 0
                 for raw in records(data):
