@@ -1,6 +1,7 @@
 """Embedding operators against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import vectors
@@ -90,6 +91,13 @@ def test_repeated_rows_and_nothing(spark):
     assert vectors.near_duplicate_vectors(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_labels_of_other_types(spark):
+    rows = [(1, [1.0, 0.0], 1.2, "a"), (2, [1.0, 0.0], 1.7, "b"), (3, [1.0, 0.1], 1.7, "a"), (4, [1.0, 0.0], None, None)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, x double, y string")
+    comps = lambda c: {r["vec_id"]: r["component_id"] for r in vectors.near_duplicate_vectors(table, label_col=c).collect()}
+    assert comps("x") == {1: 1, 2: 2, 3: 2, 4: 4} and comps("y") == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
 def nearest(ids, x, query, k):
     s = x.astype("f8") @ x[list(ids).index(query)].astype("f8")
     order = sorted((-v, i) for v, i in zip(s, ids, strict=True) if i != query)
@@ -121,6 +129,35 @@ def test_nearest(spark, monkeypatch, shard, beam):
     assert hits >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("stretch", [1.0, 3e6, 1e-30])
+def test_recall_of_the_graph(spark, monkeypatch, stretch):
+    """Structureless vectors in several shards, far more nodes than a search starts from or keeps, one of them stretched."""
+    monkeypatch.setattr(vectors, "SHARD", 6000)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((21_000, 32)).astype("f4")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= stretch
+    table = spark.createDataFrame(pa.table({"my_vec_id": np.arange(len(x)), "e": pa.array(list(x))})).repartition(4)
+    got = vectors.nearest_neighbours(table, "my_vec_id % 100 = 0", k=20, id_col="my_vec_id", vec_col="e").toPandas()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        score = x.astype("f8") @ x[q].astype("f8")
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20]) & set(own.vec_id))
+    assert got["query_id"].nunique() == 210 and hits >= 0.9 * 20 * 210
+
+
+def test_equal_vectors_and_ties(spark):
+    """Of far more equal vectors than a result holds, those with the smallest ids; a query is not among its own."""
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(1, 120)] + [(200 + i, [2.0, 1.0, 0.0]) for i in range(10)]
+    got: dict = {}
+    for r in vectors.nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id % 20 = 0 or vec_id = 3", k=20).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert list(got[20].values()) and [got[20][i] for i in range(1, 21)] == [i for i in range(1, 22) if i != 20]
+    assert [got[3][i] for i in range(1, 21)] == [i for i in range(1, 22) if i != 3]
+    assert [got[200][i] for i in range(1, 21)] == [*range(201, 210), *range(1, 12)]  # 5.0 with its own kind, 4.0 with the others
+
+
 def test_few_candidates(spark):
     kind = "vec_id bigint, embedding array<float>"
     got = vectors.nearest_neighbours(spark.createDataFrame([(0, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.0, 1.0]), (40, [1.0])], kind), k=3).collect()

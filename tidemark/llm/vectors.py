@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import Scratch, connected_components
 
@@ -16,15 +17,14 @@ def _wide(column, schema_type) -> str:
     return "<f8" if schema_type.elementType.simpleString() == "double" else "<f4"
 
 
-def valid_vectors(table: DataFrame, scratch: Scratch, id_col: str, vec_col: str, label_col: str | None = None) -> tuple[DataFrame, str]:
-    """(uid, vec_id, label, dim, vec) of all rows, and the number type of vec (bytes).
+def valid_vectors(table: DataFrame, scratch: Scratch, id_col: str, vec_col: str, label: Column) -> tuple[DataFrame, str]:
+    """(uid, vec_id, label, dim, vec) of all rows, and the number type of vec (bytes); ``label`` is a long.
 
     uid numbers the rows.  vec is null where the vector takes no part: null, empty, zero, or with null or non-finite
     components.  Written once, so that uid stays the same.
     """
     kind = _wide(vec_col, table.schema[vec_col].dataType)
     element = "double" if kind == "<f8" else "float"
-    label = table[label_col].cast("bigint") if label_col else F.lit(None).cast("bigint")
     rows = table.select(F.monotonically_increasing_id().alias("uid"), table[id_col].cast("bigint").alias("vec_id"), label.alias("label"), table[vec_col].cast(f"array<{element}>").alias("v"))
 
     def pack(batches):
@@ -118,7 +118,10 @@ def near_duplicate_vectors(table: DataFrame, num: float = 0.93, id_col="vec_id",
     of their own that link with each other.  An empty table gives no rows.
     """
     spark, scratch = table.sparkSession, Scratch(table.sparkSession, "vectors")
-    rows, kind = valid_vectors(table, scratch, id_col, vec_col, label_col)
+    label = table[label_col]
+    if not isinstance(table.schema[label_col].dataType, T.IntegralType):  # a hash of other labels, null stays null
+        label = F.when(label.isNotNull(), F.xxhash64(label))
+    rows, kind = valid_vectors(table, scratch, id_col, vec_col, label.cast("bigint"))
     marked = rows.where("vec is not null and label is not null and vec_id is not null").withColumn("fp", F.sha2("vec", 256))
     classes = scratch.write(marked.groupBy("label", "dim", "fp").agg(F.min("uid").alias("rep"), F.count("*").alias("size")), "classes")
     named = classes.select(F.col("label").alias("cl"), F.col("dim").alias("cd"), F.col("fp").alias("cf"), "rep", "size")
@@ -243,8 +246,8 @@ def near_duplicate_vectors(table: DataFrame, num: float = 0.93, id_col="vec_id",
 # -- nearest neighbours --
 
 #: Nodes of a shard of the index, neighbours of a node, neighbours (own and reverse) that meet in a round, rounds; queries of a block,
-#: beam, nodes opened in a step, random entry points.
-SHARD, NEIGHBOURS, MEET, ROUNDS, QUERY_BLOCK, BEAM, OPEN, ENTRIES = 8192, 16, 40, 4, 256, 320, 16, 128
+#: blocks that share a copy of a shard, beam, nodes opened in a step, random entry points.
+SHARD, NEIGHBOURS, MEET, ROUNDS, QUERY_BLOCK, SHARED, BEAM, OPEN, ENTRIES = 8192, 16, 40, 4, 256, 64, 320, 16, 128
 
 
 def _top(scores: np.ndarray, k: int) -> np.ndarray:
@@ -334,16 +337,16 @@ def neighbour_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return graph
 
 
-def beam_search(index: dict, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy search of a shard for a block of queries: numbers of the k best nodes found, and their inner products.
+def beam_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy search of a shard for a block of queries: numbers of the k best nodes found (-1: none), and their inner products.
 
-    index holds vectors (float32) and links (node numbers, -1 for none).  Each query keeps a beam of the best nodes
-    seen and opens the best unopened ones, until all of the beam are opened.  own: the query's number in the shard or -1.
+    x holds vectors (float32) and links node numbers (-1 for none).  Each query starts from ENTRIES random nodes and from its own, keeps
+    a beam of the best nodes seen and opens the best unopened ones, until all of the beam are opened.  own: the query's
+    number in the shard or -1.
     """
-    x, links = index["x"], index["links"]
     n, q = len(x), len(queries)
     rng = np.random.default_rng(1)
-    start = np.arange(n) if n <= 2 * BEAM else rng.choice(n, ENTRIES, replace=False)
+    start = rng.choice(n, min(n, ENTRIES), replace=False)
     ids = np.tile(start, (q, 1))
     score = queries @ x[start].T
     seen = np.zeros((q, n), bool)
@@ -381,62 +384,70 @@ def beam_search(index: dict, queries: np.ndarray, own: np.ndarray, k: int) -> tu
         if ids.shape[1] > BEAM:
             best = _top(score, BEAM)
             ids, score, done = (np.take_along_axis(v, best, 1) for v in (ids, score, done))
-    score[np.arange(q)[:, None].repeat(ids.shape[1], 1)[ids == own[:, None]], np.nonzero(ids == own[:, None])[1]] = -np.inf
     best = _top(score, min(k, score.shape[1]))
     return np.take_along_axis(ids, best, 1), np.take_along_axis(score, best, 1)
 
 
+def _exponent(x: np.ndarray) -> int:
+    """e with norm in [2 ** (e - 1), 2 ** e), without overflow."""
+    top = int(np.frexp(np.abs(x).max())[1])
+    return top + int(np.frexp(np.linalg.norm(np.ldexp(x, -top)))[1])
+
+
 def nearest_neighbours(table: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, id_col="vec_id", vec_col="embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which ``queries`` holds, its k nearest other rows by inner product.
 
-    Every valid row is indexed, in shards of about SHARD nodes that are dealt by a hash; a shard's neighbour graph is built by
-    NN-descent and searched with a beam for blocks of queries.  Largest inner product becomes nearness by one more component,
-    sqrt(M^2 - |x|^2) for the largest norm M.  Scores are inner products of the original vectors in double precision,
-    ties go to the smaller id.
+    ``queries`` is SQL over the columns of the table.  Equal vectors are one node.  Every valid row is indexed: nodes whose
+    norms lie within a factor of two are a band, so that one long vector does not flatten the others; a band is cut into shards
+    of about SHARD nodes by a hash.  Within a band largest inner product becomes nearness by one more component,
+    sqrt(1 - |x|^2) after scaling; a shard's neighbour graph is built by NN-descent.  Each query is searched in each shard of its length,
+    greedily over the graph with a beam; shards stay where they are and blocks of queries come to them.  Scores are
+    inner products of the original vectors in double precision, ties go to the smaller id.
 
     Rows without an id and vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
     different length do not meet.  Of repeated rows each is a candidate of its own.  Fewer than k candidates are all returned;
     an empty table gives no rows.
     """
     spark, scratch = table.sparkSession, Scratch(table.sparkSession, "index")
-    rows, kind = valid_vectors(table, scratch, id_col, vec_col)
-    used = rows.where("vec is not null and vec_id is not null").drop("label")
-    counted = used.groupBy("dim").agg(F.count("*").alias("n")).select(F.col("dim").alias("d"), F.ceil(F.col("n") / SHARD).alias("shards"))
-    sized = used.join(scratch.write(counted, "dims"), F.col("dim") == F.col("d"))
-    shard = F.concat_ws("-", "dim", F.pmod(F.xxhash64("uid"), F.col("shards")))
-    sized = sized.select("uid", "vec_id", "dim", "vec", "shards", F.xxhash64(shard).alias("shard"))
-    sized = scratch.write(sized, "sharded")
-
-    def norms(batches):
-        for b in batches:
-            top = max((float(np.square(np.frombuffer(v, kind).astype("f8")).sum()) for v in b.column(0).to_pylist()), default=0.0)
-            yield pa.RecordBatch.from_arrays([pa.array([top])], names=["top"])
-
-    largest = sized.select("vec").mapInArrow(norms, "top double").agg(F.max("top").alias("m")).first()["m"] or 1.0
-
-    def augment(batches):
+    rows, kind = valid_vectors(table, scratch, id_col, vec_col, F.coalesce(F.expr(queries).cast("boolean"), F.lit(False)).cast("bigint"))
+    used = rows.where("vec is not null and vec_id is not null").withColumn("fp", F.sha2("vec", 256))
+    classes = scratch.write(used.groupBy("dim", "fp").agg(F.min("uid").alias("rep")).select(F.col("dim").alias("cd"), F.col("fp").alias("cf"), "rep"), "classes")
+    same = (F.col("dim") == F.col("cd")) & (F.col("fp") == F.col("cf"))
+    member = scratch.write(used.select("uid", "vec_id", "dim", "fp", "label").join(classes.hint("merge"), same).select("uid", "vec_id", "dim", "label", "rep"), "members")
+    # of a vector that very many rows share, only so many can be among the nearest
+    first = member.withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy("vec_id", "uid"))).where(F.col("place") <= k + 1)
+    named = first.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("vec_id", "uid"))).alias("held")).select(F.col("rep").alias("nr"), "held")
+    named = scratch.write(named, "named")
+
+    def banded(batches):
         for b in batches:
             out = []
             for v in b.column("vec").to_pylist():
                 x = np.frombuffer(v, kind).astype("f8")
-                x = np.append(x, np.sqrt(max(0.0, largest - x @ x))) / np.sqrt(largest)
-                out.append(x.astype("<f2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("uid"), pa.array(out, pa.binary())], names=["shard", "uid", "g"])
-
-    nodes = scratch.write(sized.select("shard", "uid", "vec").mapInArrow(augment, "shard bigint, uid bigint, g binary"), "nodes")
-    graph = neighbour_graph(nodes, scratch)
+                e = _exponent(x)
+                x = np.ldexp(x, -e)
+                out.append((e, np.append(x, np.sqrt(max(0.0, 1 - x @ x))).astype("<f2").tobytes()))
+            band, g = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("dim"), b.column("vec"), pa.array(band, pa.int32()), pa.array(g, pa.binary())], names=["uid", "dim", "vec", "band", "g"])
+
+    nodes = rows.select("uid", "dim", "vec").join(named.select("nr"), F.col("uid") == F.col("nr"), "left_semi")
+    nodes = scratch.write(nodes.mapInArrow(banded, "uid bigint, dim int, vec binary, band int, g binary"), "banded")
+    counted = nodes.groupBy("dim", "band").agg(F.count("*").alias("n")).select(F.col("dim").alias("d"), F.col("band").alias("e"), F.ceil(F.col("n") / SHARD).alias("shards"))
+    sized = nodes.join(scratch.write(counted, "bands"), (F.col("dim") == F.col("d")) & (F.col("band") == F.col("e")))
+    shard = F.xxhash64("dim", "band", F.pmod(F.xxhash64("uid"), F.col("shards")))
+    sized = scratch.write(sized.select("uid", "dim", "band", "vec", "g", shard.alias("shard")), "nodes")
+    graph = neighbour_graph(sized.select("shard", "uid", "g"), scratch)
     lists = graph.groupBy("a").agg(F.collect_list("b").alias("links")).select(F.col("a").alias("la"), "links")  # NEIGHBOURS at most
-    linked = scratch.write(sized.join(lists, F.col("uid") == F.col("la"), "left").select("shard", "uid", "vec_id", "vec", "links"), "linked")
+    linked = sized.drop("g").join(lists, F.col("uid") == F.col("la"), "left").join(named, F.col("uid") == F.col("nr"))
+    linked = scratch.write(linked.select("shard", "uid", "dim", "band", "vec", "links", "held"), "linked")
 
     def pack(batches):
         for t in _groups(batches, [], ["shard"]):
             uid = t.column("uid").to_numpy()
             order = np.argsort(uid)
             number = {int(u): i for i, u in enumerate(uid[order])}
-            ids = t.column("vec_id").to_numpy()[order]
-            vecs = t.column("vec").to_pylist()
+            vecs, out, held = (t.column(c).to_pylist() for c in ("vec", "links", "held"))
             links: list[list[int]] = [[] for _ in uid]
-            out = t.column("links").to_pylist()
             for i, o in enumerate(order):
                 for b in out[o] or ():
                     links[i].append(number[b])
@@ -447,42 +458,72 @@ def nearest_neighbours(table: DataFrame, queries: str = "vec_id % 20 = 0", k: in
                 # own neighbours come first; of more reverse ones than there is room, any
                 own = list(dict.fromkeys(own))[:width]
                 table_[i, : len(own)] = own
-            yield pa.RecordBatch.from_arrays([pa.array([t.column("shard")[0].as_py()]), pa.array([uid[order].astype("<i8").tobytes()]), pa.array([ids.astype("<i8").tobytes()]), pa.array([b"".join(vecs[o] for o in order)], pa.large_binary()).cast(pa.binary()), pa.array([table_.tobytes()])], names=["shard", "uids", "ids", "vecs", "links"])
-
-    index = linked.repartition("shard").sortWithinPartitions("shard").mapInArrow(pack, "shard bigint, uids binary, ids binary, vecs binary, links binary")
-    index = scratch.write(index.withColumnRenamed("shard", "in_shard"), "index")
-    asked = sized.where(queries.replace("vec_id", "`vec_id`"))
+            names = [held[o] for o in order]
+            whose = np.array([(m["vec_id"], m["uid"]) for h in names for m in h], "<i8")
+            blobs = (uid[order].astype("<i8"), np.array([len(h) for h in names], "<i4"), whose, table_)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([t.column(c)[0].as_py()], kind_) for c, kind_ in (("shard", pa.int64()), ("dim", pa.int32()), ("band", pa.int32()))), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), pa.array([b"".join(vecs[o] for o in order)], pa.binary())],
+                names=["shard", "dim", "band", "uids", "counts", "held", "links", "vecs"],
+            )
+
+    index = linked.repartition("shard").sortWithinPartitions("shard").mapInArrow(pack, "shard bigint, dim int, band int, uids binary, counts binary, held binary, links binary, vecs binary")
+    index = scratch.write(index, "index")
+    asked = member.where("label = 1").select(F.col("rep").alias("ar")).distinct()
+    asked = nodes.select("uid", "dim", "band", "vec").join(asked, F.col("uid") == F.col("ar"), "left_semi")
     n_asked = asked.groupBy("dim").agg(F.count("*").alias("n")).select(F.col("dim").alias("qd"), F.ceil(F.col("n") / QUERY_BLOCK).alias("blocks"))
-    asked = asked.join(scratch.write(n_asked, "asked"), F.col("dim") == F.col("qd")).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(5)), F.col("blocks")))
+    n_asked = scratch.write(n_asked, "asked")
+    asked = asked.join(n_asked, F.col("dim") == F.col("qd")).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(5)), F.col("blocks")))
 
     def pack_queries(batches):
         for t in _groups(batches, [], ["dim", "block"]):
-            yield pa.RecordBatch.from_arrays([pa.array([t.column("dim")[0].as_py()], pa.int32()), pa.array([t.column("shards")[0].as_py()], pa.int64()), pa.array([t.column("uid").to_numpy().astype("<i8").tobytes()]), pa.array([t.column("vec_id").to_numpy().astype("<i8").tobytes()]), pa.array([b"".join(t.column("vec").to_pylist())])], names=["dim", "shards", "q_uids", "q_ids", "q_vecs"])
-
-    blocks = asked.select("dim", "block", "shards", "uid", "vec_id", "vec").repartition("dim", "block").sortWithinPartitions("dim", "block", "uid")
-    blocks = scratch.write(blocks.mapInArrow(pack_queries, "dim int, shards bigint, q_uids binary, q_ids binary, q_vecs binary"), "queries")
-    # each block of queries meets each shard of its length
-    pairs = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("s"))
-    pairs = pairs.select("dim", "q_uids", "q_ids", "q_vecs", F.xxhash64(F.concat_ws("-", "dim", "s")).alias("shard"))
-    pairs = pairs.join(index, F.col("shard") == F.col("in_shard")).drop("in_shard")
+            blobs = (t.column("uid").to_numpy().astype("<i8"), t.column("band").to_numpy().astype("<i4"))
+            yield pa.RecordBatch.from_arrays([pa.array([t.column("dim")[0].as_py()], pa.int32()), pa.array([t.column("block")[0].as_py()], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), pa.array([b"".join(t.column("vec").to_pylist())], pa.binary())], names=["dim", "block", "uids", "held", "vecs"])
+
+    blocks = asked.select("dim", "block", "uid", "band", "vec").repartition("dim", "block").sortWithinPartitions("dim", "block", "uid")
+    blocks = scratch.write(blocks.mapInArrow(pack_queries, "dim int, block bigint, uids binary, held binary, vecs binary"), "queries")
+    # a copy of a shard takes SHARED blocks of queries
+    shared = F.floor(F.col("block") / SHARED).alias("copy")
+    copies = index.join(n_asked, F.col("dim") == F.col("qd")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("blocks") - 1) / SHARED))).alias("copy"))
+    sides = copies.select("shard", "copy", F.lit(-1).cast("bigint").alias("block"), "dim", "band", "uids", "counts", "held", "links", "vecs")
+    places = index.select("shard", F.col("dim").alias("sd"), "band")
+    nothing = F.lit(None).cast("binary")
+    come = blocks.join(places, F.col("dim") == F.col("sd")).select("shard", shared, "block", "dim", "band", "uids", nothing.alias("counts"), "held", nothing.alias("links"), "vecs")
 
     def search(batches):
+        at = None
         for b in batches:
             for r in b.to_pylist():
                 whole = np.frombuffer(r["vecs"], kind).reshape(-1, r["dim"]).astype("f8")
-                q = np.frombuffer(r["q_vecs"], kind).reshape(-1, r["dim"]).astype("f8")
-                uids, q_uids = np.frombuffer(r["uids"], "<i8"), np.frombuffer(r["q_uids"], "<i8")
-                at = np.searchsorted(uids, q_uids)
-                at[at == len(uids)] = 0
-                own = np.where(uids[at] == q_uids, at, -1)
-                ids, found = beam_search({"x": whole.astype("f4"), "links": np.frombuffer(r["links"], "<i4").reshape(len(uids), -1)}, q.astype("f4"), own, k + 12)
+                if r["block"] < 0:  # the shard, before its queries
+                    uids, links = np.frombuffer(r["uids"], "<i8"), np.frombuffer(r["links"], "<i4").reshape(len(whole), -1)
+                    counts, held = np.frombuffer(r["counts"], "<i4"), np.frombuffer(r["held"], "<i8").reshape(-1, 2)
+                    at, nodes_, scaled, first_of = (r["shard"], r["copy"]), whole, np.ldexp(whole, -r["band"]).astype("f4"), np.cumsum(counts) - counts
+                    continue
+                if at != (r["shard"], r["copy"]):
+                    raise ValueError("queries without their shard")
+                q_uids, bands = np.frombuffer(r["uids"], "<i8"), np.frombuffer(r["held"], "<i4")
+                place = np.minimum(np.searchsorted(uids, q_uids), len(uids) - 1)
+                own = np.where(uids[place] == q_uids, place, -1)
+                ids, found = beam_search(scaled, links, np.ldexp(whole, -bands[:, None]).astype("f4"), own, k + 13)
                 i, j = np.nonzero(~np.isneginf(found))
                 node = ids[i, j]
-                score = np.einsum("ij,ij->i", q[i], whole[node])
-                names = np.frombuffer(r["ids"], "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(q_uids[i]), pa.array(np.frombuffer(r["q_ids"], "<i8")[i]), pa.array(names[node]), pa.array(score)], names=["q_uid", "query_id", "vec_id", "score"])
-
-    # a pair is one long row; few of them go to Python at a time
-    found = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "q_uids").mapInArrow(search, "q_uid bigint, query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(W.partitionBy("q_uid").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                score = np.einsum("ij,ij->i", whole[i], nodes_[node])
+                # each node stands for the rows that share its vector
+                many = counts[node]
+                row = np.repeat(first_of[node], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                i, score, names = np.repeat(i, many), np.repeat(score, many), held[row]
+                order = np.lexsort((names[:, 1], names[:, 0], -score, i))
+                i, score, names = i[order], score[order], names[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                keep = rank <= k
+                yield pa.RecordBatch.from_arrays([pa.array(q_uids[i[keep]]), pa.array(names[keep, 0]), pa.array(names[keep, 1]), pa.array(score[keep])], names=["q_uid", "vec_id", "m_uid", "score"])
+
+    by = ["shard", "copy"]
+    met = sides.union(come).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by, "block")
+    found = met.mapInArrow(search, "q_uid bigint, vec_id bigint, m_uid bigint, score double")
+    best = F.row_number().over(W.partitionBy("q_uid").orderBy(F.desc("score"), "vec_id", "m_uid"))
+    found = scratch.write(found.withColumn("best", best).where(F.col("best") <= k + 1).drop("best"), "found")
+    asking = member.where("label = 1").select("uid", F.col("vec_id").alias("query_id"), "rep")
+    pairs = asking.join(found, F.col("rep") == F.col("q_uid")).where("uid <> m_uid")
+    rank = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("score"), "vec_id", "m_uid"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
