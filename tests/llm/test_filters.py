@@ -43,6 +43,45 @@ def test_held_out_accuracy(spark):
     assert by[10_000]["score"] == by[10_001]["score"]
 
 
+def slow_score(model, text):
+    """One document, one window at a time."""
+    import zstandard
+
+    raw = text.lower().encode()
+    params = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    size = []
+    for content in (model.ordinary, model.toxic + model.ordinary):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=params)
+        size.append([len(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress(raw[i : i + 64])) for i in range(0, max(1, len(raw) - 16) if raw else 0, 48)])
+    saved = [a - b for a, b in zip(*size)]
+    x = []
+    for least in model.thresholds:
+        hits = sum(s >= least for s in saved)
+        x += [np.log1p(hits), np.sqrt(hits / max(len(saved), 1))]
+    x += [np.log1p(sum(max(s, 0) for s in saved)), np.log1p(len(saved)), 1]
+    return 1 / (1 + np.exp(-np.clip(np.dot(x, model.weights), -35, 35)))
+
+
+def test_scores_one_by_one(spark):
+    """Short, empty and very long texts against the slow version."""
+    rows = labelled(300)
+    model = toxicity.fit([(t, y) for _, t, y in rows])
+    texts = [*(t for _, t, _ in rows[:40]), "", None, "x", "WRXGLE " * 9, rows[0][1] * 200, "é" * 63]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, model).collect()}
+    assert all(abs(got[i] - slow_score(model, t or "")) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_long_documents_train(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 640)
+    docs = spark.createDataFrame([(1, "AbcD " * 2000), (1, "Abc"), (2, "short"), (3, None), (4, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 1, 2, 3, 4, 9)], "doc_id bigint, toxic int")
+    got = toxicity.training_sample(docs, labels)
+    assert got == toxicity.training_sample(docs.repartition(3), labels) and ("short", 0) in got
+    assert all(len(t) <= 640 + 64 and t == t.lower() for t, _ in got)
+
+
 def test_nothing_to_learn(spark):
     model = toxicity.fit([("some text", 0)])
     docs = spark.createDataFrame([(1, "a", "z")], "doc_id bigint, text string, score string")

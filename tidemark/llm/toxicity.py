@@ -1,10 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text.  A window of a text is compressed
+Two zstandard dictionaries: one trained on ordinary text, one of toxic text.  A window of a text is compressed
 with the ordinary one and with both together; what the toxic text saves is the window's distance.  The
 ordinary content lies at the same place in both, so ordinary windows come out at the same length and the
 difference is free of noise.  A window counts if it saves more than a threshold calibrated on ordinary text, and a
 logistic curve, fitted on labelled documents that the dictionaries were not trained on, makes a document's score.
+
+What goes into the toxic dictionary is chosen by contrast: words whose beginnings stand in many contexts of toxic documents and
+hardly ever elsewhere.  Training it on whole toxic text, as the plain method does, was tried and does not give right results, because
+toxic documents are ordinary text but for a few words (figures in the README).
 """
 
 from __future__ import annotations
@@ -18,12 +22,13 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches
 
-#: Bounds of the labelled sample: documents of each label, and the longest document taken for training.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2000, 4000, 16_384
+#: Bounds of the labelled sample: documents of each label, and characters of one; a longer one gives so many pieces, evenly spaced.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS, SAMPLE_PIECES = 2000, 4000, 16_384, 64
 #: Windows: bytes, and bytes from one to the next.
 WINDOW, STRIDE = 64, 48
 #: From this level on zstd searches dictionaries in full.
@@ -137,11 +142,11 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 
 
 def fit(sample: list[tuple[str | None, int]], seed: int = 0) -> Model:
-    """Train on (text, label) pairs; ``seed`` fixes the order of samples.
+    """Train on (text in lower case, label) pairs; ``seed`` fixes the order of samples.
 
     Without documents of both labels nothing can be learnt, and every score is 0.
     """
-    rows = sorted({(text.lower().encode(), label) for text, label in sample if text and label in (0, 1)})
+    rows = sorted({(text.encode(), label) for text, label in sample if text and label in (0, 1)})
     rng = random.Random(seed)
     rng.shuffle(rows)
     by_label = [[t for t, x in rows if x == label] for label in (0, 1)]
@@ -196,22 +201,28 @@ def held_out(id_column):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic") -> list[tuple[str, int]]:
-    """At most SAMPLE_TOXIC and SAMPLE_ORDINARY labelled documents of up to SAMPLE_CHARS characters, none of them held out.
+    """At most SAMPLE_TOXIC and SAMPLE_ORDINARY labelled documents in lower case, none of them held out, in a fixed order.
 
-    The sample is chosen by a hash of the id, from labels first, so that texts of these documents alone are read out.
+    They are chosen by a hash of the id from the labels whose document is there, so that texts of these documents alone are read.
+    Of a text over SAMPLE_CHARS characters SAMPLE_PIECES pieces are taken, evenly spaced.  Of rows that share an id one text is
+    taken, of labels that do, the larger.
     """
     own = labels.select(labels[id_col].cast("bigint").alias("k"), labels[label_col].cast("int").alias("y")).where("k is not null and y in (0, 1)")
     own = own.where(~held_out(F.col("k"))).groupBy("k").agg(F.max("y").alias("y"))
-    texts = docs.select(docs[id_col].cast("bigint").alias("k"), docs[text_col].cast("string").alias("text"))
-    fit_for = texts.where(F.length("text").between(1, SAMPLE_CHARS)).select(F.col("k").alias("f")).distinct()
-    own = own.join(fit_for, F.col("k") == F.col("f"), "left_semi")
-    chosen = [own.where(f"y = {y}").orderBy(F.xxhash64("k"), "k").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))]
-    picked = [(r["k"], r["y"]) for part in chosen for r in part.collect()]  # bounded by the two limits
+    there = docs.select(docs[id_col].cast("bigint").alias("f")).where("f is not null")
+    own = own.join(there, F.col("k") == F.col("f"), "left_semi")
+    bounds = F.when(F.col("y") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_ORDINARY)
+    rank = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("k"), "k"))
+    picked = own.withColumn("r", rank).where((F.col("r") <= max(SAMPLE_TOXIC, SAMPLE_ORDINARY)) & (F.col("r") <= bounds)).select("k", "y").collect()  # bounded by the two limits
     if not picked:
         return []
     few = F.broadcast(docs.sparkSession.createDataFrame(picked, "k bigint, y int"))
-    rows = texts.where(F.length("text").between(1, SAMPLE_CHARS)).join(few, "k").select("text", "y")
-    return [(r["text"], r["y"]) for r in rows.limit(2 * (SAMPLE_TOXIC + SAMPLE_ORDINARY)).collect()]
+    texts = docs.select(docs[id_col].cast("bigint").alias("k"), docs[text_col].cast("string").alias("text")).where("text <> ''").join(few, "k")
+    size, piece = F.length("text"), SAMPLE_CHARS // SAMPLE_PIECES
+    spaced = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PIECES - 1)), lambda i: F.substring("text", F.floor(i * (size - piece) / (SAMPLE_PIECES - 1)).cast("int") + 1, piece)), " ")
+    texts = texts.select("k", "y", F.lower(F.when(size <= SAMPLE_CHARS, F.col("text")).otherwise(spaced)).alias("text"))
+    rows = texts.groupBy("k").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+    return [(r["text"], r["y"]) for r in rows.orderBy(F.xxhash64("k"), "k").collect()]
 
 
 def score_documents(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", keep: list[str] = ()) -> DataFrame:
