@@ -181,6 +181,43 @@ def test_letters_of_all_scripts_and_none(spark, monkeypatch):
     assert len({got[i] for i in range(10, 20)}) == 10 and not {got[i] for i in range(10, 20)} & {f"pwd=*****{i}" for i in range(10)}
 
 
+def test_one_person_under_several_titles(spark):
+    texts = ["Mrs Jane Doe met Dr Jane Doe", "Prof. Jane Doe", "Mr Kim Poe and Mrs Kim Poe and Dr Kim Poe"]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id bigint, text string, n int")
+    out = pii.replace_entities(docs, "key", count_col="n")
+    assert out.columns == ["doc_id", "text", "n"]
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    name = re.fullmatch(r"Mrs (\w+ella \w+) met Dr (.*)", got[0]).groups()
+    assert name[0] == name[1] and got[1] == f"Prof. {name[0]}"
+    assert re.fullmatch(r"Mr \w+ton (\w+) and Mrs \w+ella \1 and Dr \w+in \1", got[2])
+
+
+def test_generated_texts_against_plain_python(spark):
+    """What is found, what stays, and that each finding has one replacement of its own and of its format."""
+    import regex
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs, "key").collect()}
+    pattern, put, masks = regex.compile(pii.PATTERN), {}, 0
+    for r in docs.collect():
+        found = [m[0] for m in pattern.finditer(r["text"] or "")]
+        if not found:
+            assert got[r["doc_id"]] == r["text"]
+            continue
+        ends = [0, *(x for m in pattern.finditer(r["text"]) for x in m.span()), len(r["text"])]
+        kept = [r["text"][a:b] for a, b in zip(ends[::2], ends[1::2])]
+        new = regex.fullmatch("(.+?)".join(map(regex.escape, kept)), got[r["doc_id"]], regex.S)
+        assert new, r["doc_id"]
+        for old, now in zip(found, new.groups()):
+            put.setdefault(old, set()).add(now)
+            kind = next(k for k, p in pii.TYPES.items() if regex.fullmatch(p, old))
+            assert now != old and regex.fullmatch(pii.TYPES[kind], now), (old, now)
+            masks += kind not in ("person", "ip") and len(now) == len(old)
+    assert masks > 10 and all(len(v) == 1 for v in put.values())
+    norm = {regex.sub("[^0-9a-z]", "", k.lower())[-10:]: regex.sub("[^0-9a-z]", "", next(iter(v)).lower())[-10:] for k, v in put.items()}
+    assert len(set(norm.values())) == len(norm)
+
+
 def test_private_of_nothing(spark):
     assert pii.replace_entities(spark.createDataFrame([], "doc_id bigint, text string"), "k").count() == 0
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,22 +39,24 @@ LETTERS = [
 TURNS = 8
 
 _ALL = "|".join(x for part in HONORIFICS.values() for x in part)
+_FIRST = "".join(sorted({x[0] for part in HONORIFICS.values() for x in part}))
 #: What is looked for, in order: at one place the first that fits is taken.
 TYPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?i:password|passwd|pwd|secret|api[_-]?key|token)[ ]{0,2}[=:][ ]{0,2}[\"']?[^\s\"']{6,}+",
-    "aws": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?=[PpSsAaTt])(?i:password|passwd|pwd|secret|api[_-]?key|token)[ ]{0,2}[=:][ ]{0,2}[\"']?[^\s\"']{6,}+",
+    "aws": r"(?=A)(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": r"(?=[0-9])(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
+    "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
-    "hex": r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])",
-    "person": rf"(?<!\p{{L}})(?:{_ALL})\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)*+",
+    "card": r"(?=[0-9])(?<![0-9A-Za-z])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
+    "hex": r"(?=[0-9a-f])(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])",
+    "person": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_ALL})\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: Texts without any of these hold nothing that PATTERN finds; most texts end here.
-MAYBE = rf"[0-9@]|(?i:password|passwd|pwd|secret|key|token)[ ]{{0,2}}[=:]|(?:{_ALL})\.? \p{{Lu}}|[a-f]{{32}}|A[KS]IA[A-Z0-9]{{16}}"
+#: What an alternative begins with is looked at first, which most places fail.
+MAYBE = rf"[0-9@]|(?=[PpSsKkTt])(?i:password|passwd|pwd|secret|key|token)[ ]{{0,2}}[=:]|(?=[{_FIRST}])(?:{_ALL})\.? \p{{Lu}}|[a-f]{{32}}|A[KS]IA[A-Z0-9]{{16}}"
 
 
 def is_digit(c: Column) -> Column:
@@ -73,13 +75,20 @@ def _kind(raw: Column) -> Column:
 _HEAD = r"^(?i:password|passwd|pwd|secret|api[_-]?key|token)[ ]{0,2}[=:][ ]{0,2}[\"']?"
 
 
-def _parts(raw: Column, kind: Column) -> Column:
+def _names(raw: Column) -> Column:
+    return F.regexp_replace(raw, rf"^(?:{_ALL})\.? ", "")
+
+
+def _gender(raw: Column) -> Column:
+    title = F.regexp_extract(raw, rf"^({_ALL})(?!\p{{L}})", 1)
+    return F.when(title.isin(*HONORIFICS["m"]), "m").when(title.isin(*HONORIFICS["f"]), "f").otherwise("u")
+
+
+def _parts(raw: Column, kind: Column, gender: Column) -> Column:
     """The entities in what was found, as (kind, key): one, or a name's words.  The key is the same for each way of writing."""
     solid = F.regexp_replace(F.upper(raw), "[^0-9A-Z]", "")
     one = lambda k, key: F.array(F.struct(k.alias("kind"), key.alias("key")))
-    names = F.split(F.regexp_replace(raw, rf"^(?:{_ALL})\.? ", ""), " ")
-    title = F.regexp_extract(raw, rf"^({_ALL})(?!\p{{L}})", 1)
-    gender = F.when(title.isin(*HONORIFICS["m"]), "m").when(title.isin(*HONORIFICS["f"]), "f").otherwise("u")
+    names = F.split(_names(raw), " ")
     person = F.transform(names, lambda w, i: F.struct(F.when(i == F.size(names) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), gender)).alias("kind"), F.lower(w).alias("key")))
     return (
         F.when(kind == "person", person)
@@ -181,8 +190,14 @@ def surrogates(entities: DataFrame, secret: str, scratch: Scratch) -> DataFrame:
         keys = made.select("kind", "key", (F.col("turn") + F.col("again").cast("int")).alias("turn"))
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret that surrogates are made from: ``spark.tidemark.surrogateKey`` of the session; without one a key for tests."""
+    return spark.conf.get("spark.tidemark.surrogateKey", "tidemark")
+
+
 def replace_entities(docs: DataFrame, secret: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """The rows of ``docs`` with each detected entity replaced by its surrogate; ``count_col`` adds how many there were.
+    """The rows of ``docs`` with each detected entity replaced by its surrogate; ``count_col`` adds how many there were
+    (in place of a column of that name).
 
     All rows and columns are kept.  A null or empty text and a text without entities stay as they are; equal texts get
     equal results, so repeated rows are worked out once.  An empty table stays empty.
@@ -193,8 +208,14 @@ def replace_entities(docs: DataFrame, secret: str, text_col: str = "text", count
     found = scratch.write(found, "found")
     found = scratch.write(found.groupBy("fp").agg(F.first("found").alias("found")), "distinct")
     seen = scratch.write(found.select("fp", F.posexplode("found").alias("pos", "raw")), "seen")
-    raws = _spread(seen.select("raw").distinct(), "raw").withColumn("kind", _kind(F.col("raw")))
-    parts = scratch.write(raws.select("raw", F.col("kind").alias("of"), F.posexplode(_parts(F.col("raw"), F.col("kind"))).alias("i", "e")).select("raw", "of", "i", "e.kind", "e.key"), "parts")
+    raw = F.col("raw")
+    raws = _spread(seen.select("raw").distinct(), "raw").withColumn("kind", _kind(raw))
+    raws = scratch.write(raws.select("raw", "kind", F.when(F.col("kind") == "person", F.lower(_names(raw))).alias("name"), _gender(raw).alias("gender")), "raws")
+    # a title without gender takes that of the same name under other titles, where these agree
+    told = raws.where("name is not null and gender <> 'u'").groupBy(F.col("name").alias("called")).agg(F.min("gender").alias("told"), F.max("gender").alias("other")).where("told = other")
+    raws = raws.join(told, F.col("name") == F.col("called"), "left")
+    gender = F.when(F.col("gender") == "u", F.coalesce("told", "gender")).otherwise(F.col("gender"))
+    parts = scratch.write(raws.select("raw", F.col("kind").alias("of"), F.posexplode(_parts(raw, F.col("kind"), gender)).alias("i", "e")).select("raw", "of", "i", "e.kind", "e.key"), "parts")
     new = surrogates(parts, secret, scratch).select(F.col("kind").alias("sk"), F.col("key").alias("sv"), "surrogate")
     joined = parts.join(new, (F.col("kind") == F.col("sk")) & (F.col("key") == F.col("sv")))
     whole = joined.groupBy("raw", "of").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "surrogate"))), lambda x: x["surrogate"]).alias("parts"))
@@ -205,6 +226,7 @@ def replace_entities(docs: DataFrame, secret: str, text_col: str = "text", count
     pieces = F.zip_with(F.split(text, PATTERN, -1), "_pii_put", lambda s, r: F.concat(s, F.coalesce(r, F.lit(""))))
     changed = F.when(F.col("_pii_put").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(pieces, ""))
     count = [F.coalesce(F.when(F.col("_pii_put").isNotNull(), F.size("_pii_put")), F.lit(0)).alias(count_col)] if count_col else []
-    replaced = maybe.select(*(changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), *count)
+    columns = [c for c in docs.columns if c != count_col]
+    replaced = maybe.select(*(changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns), *count)
     rest = docs.where(~F.coalesce(text.rlike(MAYBE), F.lit(False)))
-    return replaced.union(rest.select(*(F.col(f"`{c}`") for c in docs.columns), *([F.lit(0).alias(count_col)] if count_col else [])))
+    return replaced.union(rest.select(*(F.col(f"`{c}`") for c in columns), *([F.lit(0).alias(count_col)] if count_col else [])))

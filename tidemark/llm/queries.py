@@ -13,12 +13,8 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_join(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-#: The key of the surrogates; a deployment brings its own.
-SURROGATE_KEY = "tidemark"
-
-
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY, count_col="n_entities")
+    return pii.replace_entities(read_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.surrogate_key(spark), count_col="n_entities")
 
 
 def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
