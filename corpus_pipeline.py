@@ -13,8 +13,6 @@ from tidemark.llm import linededup, pii, setjoin, tokens, toxicity
 from tidemark.llm.common import Scratch, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: The key of the surrogates; a deployment brings its own.
-SURROGATE_KEY = "tidemark"
 
 
 def _recounted(docs: DataFrame, before: str = "text") -> DataFrame:
@@ -47,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets get surrogates."""
-    return _recounted(pii.replace_entities(docs.select(*COLUMNS), SURROGATE_KEY))
+    return _recounted(pii.replace_entities(docs.select(*COLUMNS), pii.surrogate_key(spark)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
