@@ -195,7 +195,7 @@ class VersionedTable:
             out = changes.withColumn(VERSION, F.lit(version).cast("bigint")).withColumn(TIMESTAMP, F.timestamp_seconds(F.lit(now)))
             out.select(*self.change_schema.names).coalesce(base["change_files"]).write.parquet(f"{self.path}/staging/{stage}")
             staged = [[n, f"{version:020d}-{i:05d}.parquet"] for i, n in enumerate(self.files.list(f"staging/{stage}"))]
-        entry = base | {"version": version, "operation": operation, "timestamp": now, "add": added, "remove": remove, "change": staged, "stage": stage, "txn": list(txn) if txn else None}
+        entry = base | {"version": version, "operation": operation, "timestamp": now, "add": added, "remove": remove, "change": staged, "stage": stage, "batches": base.get("batches", {}) | (dict([txn]) if txn else {})}
         try:
             self.files.create("log/" + _entry_name(version), json.dumps(entry))
         except FileExistsError as e:
@@ -206,16 +206,18 @@ class VersionedTable:
             self.checkpoint()
         return version
 
-    def _done(self, txn: tuple[str, int] | None) -> bool:
-        """Whether this batch of this query was committed before (a stream may hand over a batch twice)."""
-        return txn is not None and any(e.get("txn") and e["txn"][0] == txn[0] and e["txn"][1] >= txn[1] for e in self._entries())
+    @staticmethod
+    def _done(base: dict, txn: tuple[str, int] | None) -> bool:
+        """Whether this batch of this query was committed before (a stream may hand over a batch twice); each entry carries on
+        the last batch of every query."""
+        return txn is not None and base.get("batches", {}).get(txn[0], -1) >= txn[1]
 
     def write(self, df: DataFrame, mode: str = "append", txn: tuple[str, int] | None = None) -> int:
         """Add rows (append), or put them in place of all rows (overwrite)."""
         if mode not in ("append", "overwrite"):
             raise ValueError(f"mode {mode!r}")
         base, active = self._state()
-        if self._done(txn):
+        if self._done(base, txn):
             return base["version"]
         df = conform(df, T.StructType.fromJson(base["schema"]))
         changes = df.withColumn(CHANGE_TYPE, F.lit(INSERT))
@@ -303,7 +305,7 @@ class Merge:
         """One commit.  Two source rows that match one target row are an error; those that match nothing are inserted as they are."""
         table, spark = self.table, self.table.spark
         base, active = table._state()
-        if table._done(txn):
+        if table._done(base, txn):
             return base["version"]
         names = T.StructType.fromJson(base["schema"]).names
         on = _as_column(self.on)

@@ -192,7 +192,7 @@ def json_render_roundtrip(spark, d):
     return readers.parse_json(lines, n.schema)
 
 
-@query()
+@query("""SELECT r_regionkey, concat('<Region>', chr(10), '    <r_regionkey>', r_regionkey, '</r_regionkey>', chr(10), '    <r_name>', r_name, '</r_name>', chr(10), '</Region>') AS xml FROM region""")
 def xml_render(spark, d):
     return table(spark, d, "region").select("r_regionkey", F.to_xml(F.struct("*"), {"rowTag": "Region"}).alias("xml"))
 
@@ -290,6 +290,19 @@ def variant_union(spark, d):
     return to_variant(c, "Customer", _PERSON).unionByName(to_variant(s, "Supplier", _PERSON))
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) - 1 AS BIGINT) AS place, s_suppkey FROM supplier")
+def order_places(spark, d):
+    """Rows numbered in the order that a sort gave them; the numbers say what an order-free comparison cannot see."""
+    ordered = table(spark, d, "supplier").orderBy("s_nationkey", F.desc("s_acctbal"), "s_suppkey").select("s_suppkey")
+    return ordered.coalesce(1).select(F.monotonically_increasing_id().alias("place"), "s_suppkey")
+
+
+@query("SELECT count(*) AS n FROM (SELECT DISTINCT event_type, user_id FROM events)")
+def distinct_count_action(spark, d):
+    """An action: the number comes to the driver."""
+    return spark.createDataFrame([(table(spark, d, "events").select("event_type", "user_id").distinct().count(),)], "n bigint")
+
+
 @query("SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS qty, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
 def lineitem_summary(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n"))
@@ -320,6 +333,28 @@ def text_read(spark, d):
     return readers.parse_json(readers.read_lines(spark, path), n.schema)
 
 
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_infer(spark, d):
+    """Schema from the data: numbers come as long, columns in the order of their names."""
+    n, path = table(spark, d, "nation"), _folder(spark, "json")
+    readers.write_json(n, path)
+    return conform(readers.read_json(spark, path), n.schema)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_strings(spark, d):
+    n = table(spark, d, "nation")
+    return readers.read_json_strings(n.select(F.to_json(F.struct("*")).alias("value")), n.schema)
+
+
+@query("SELECT CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey END AS n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS n_name FROM nation")
+def json_permissive(spark, d):
+    """Malformed lines keep their row and lose their fields."""
+    n, path = table(spark, d, "nation").select("n_nationkey", "n_name"), _folder(spark, "lines")
+    n.select(F.when(F.col("n_nationkey") % 5 == 0, F.lit("{oops")).otherwise(F.to_json(F.struct("*"))).alias("value")).write.text(path)
+    return readers.read_json(spark, path, n.schema, readers.PERMISSIVE)
+
+
 @query("SELECT range AS id FROM range(0, 1000)")
 def range_ids(spark, d):
     return spark.range(1000)
@@ -356,6 +391,25 @@ def table_delete(spark, d):
     return made.snapshot()
 
 
+@query(f"SELECT * FROM ({_BASE}) WHERE nation <> 3 AND id % 5 <> 0")
+def table_delete_column(spark, d):
+    made, _ = _customers(spark, d)
+    made.delete((F.col("nation") == 3) | (F.col("id") % 5 == 0))
+    return made.snapshot()
+
+
+@query(f"SELECT count(*) AS n, CAST(1 AS BIGINT) AS version, true AS rejected FROM ({_BASE})")
+def table_merge_conflict(spark, d):
+    """Two source rows for one row of the table: the merge is refused and the table stays as it was."""
+    made, rows = _customers(spark, d)
+    rejected = False
+    try:
+        cdc.upsert(made, rows.filter("id % 3 = 0").unionByName(rows.filter("id % 6 = 0")), "id")
+    except ValueError:
+        rejected = True
+    return made.snapshot().agg(F.count("*").alias("n")).select("n", F.lit(made.version()).cast("bigint").alias("version"), F.lit(rejected).alias("rejected"))
+
+
 @query(f"SELECT id, CASE WHEN id % 2 = 0 THEN concat('Dr. ', name) ELSE name END AS name, nation FROM ({_BASE})")
 def table_update(spark, d):
     made, _ = _customers(spark, d)
@@ -456,6 +510,17 @@ def change_feed_stream(spark, d):
     return sinks.drain(feed, each=lambda batch, _: cdc.sort_row_changes(batch)).select("entity.*", "version", "_type")
 
 
+@query(f"SELECT * FROM ({_ROW_CHANGES}) WHERE version >= 2")
+def change_feed_stream_from(spark, d):
+    """The feed as a stream from a version on: earlier commits are not seen."""
+    return sinks.drain(cdc.row_changes(cdc.raw_changes(_changed(spark, d).stream_changes(2)))).select("entity.*", "version", "_type")
+
+
+@query("SELECT range AS value FROM range(0, 100)")
+def stream_rate(spark, d):
+    return sinks.drain(drip.rate(spark, 100)).select("value")
+
+
 def _events(spark: SparkSession, d: str, batches: int = 3) -> DataFrame:
     return drip.replay(table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value"), "event_id", batches)
 
@@ -491,6 +556,20 @@ def stream_running_sum(spark, d):
     return sinks.latest(sinks.drain(stateful.running_sum(events, "user_id", "milli"), "update"), "key")
 
 
+@query(ORACLE_SQL["stream_running_sum"])
+def stream_running_sum_event_time(spark, d):
+    """The same state under event time: the watermark lies far behind, so no row is late."""
+    events = _events(spark, d).withColumn("milli", F.floor(F.col("value") * 1000))
+    return sinks.latest(sinks.drain(stateful.running_sum(events, "user_id", "milli", "ts", "10000 days"), "update"), "key")
+
+
+@query(ORACLE_SQL["stream_running_sum"])
+def stream_running_sum_append(spark, d):
+    """A query in the default mode: each batch appends the totals of its keys, the largest batch has a key's last one."""
+    events = _events(spark, d).withColumn("milli", F.floor(F.col("value") * 1000))
+    return sinks.latest(sinks.drain(stateful.running_sum(events, "user_id", "milli", output="Append"), "append"), "key")
+
+
 _LAST_EVENT = "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1"
 _USER = T.StructType([T.StructField("user_id", T.LongType(), False), T.StructField("event_type", T.StringType(), True), T.StructField("event_id", T.LongType(), True)])
 

@@ -32,11 +32,16 @@ class RunningSum(StatefulProcessor):
         pass
 
 
-def running_sum(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """(key string, total bigint) of a stream's integers."""
+def running_sum(stream: DataFrame, key: str, value: str, event_time: str | None = None, delay: str = "0 seconds", output: str = "Update") -> DataFrame:
+    """(key string, total bigint) of a stream's integers.
+
+    With a column of event times, rows that come later than the watermark, ``delay`` behind the latest, are left out.  ``output`` is
+    the operator's output mode, which the query's has to agree with.
+    """
     use_state_store(stream.sparkSession)
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(value).cast("bigint").alias("value"))
-    return rows.groupBy("key").transformWithState(RunningSum(), "key string, total bigint", "Update", "None")
+    rows = stream.withWatermark(event_time, delay) if event_time else stream
+    rows = rows.select(F.col(key).cast("string").alias("key"), F.col(value).cast("bigint").alias("value"), *([event_time] if event_time else []))
+    return rows.groupBy("key").transformWithState(RunningSum(), "key string, total bigint", output, "EventTime" if event_time else "None")
 
 
 class GroupMembers(StatefulProcessor):
