@@ -108,8 +108,10 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + F.when(value(i) > 9, value(i) - 9).otherwise(value(i)))
 
 
-def _surrogate(kind: Column, key: Column, turn: Column, secret: str) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.lit(secret), kind, key, turn.cast("string")), 512)
+def _with_surrogate(keys: DataFrame, secret: str) -> DataFrame:
+    """``keys`` (kind, key, turn) with a surrogate each.  In several projections, so that what is used often is written once."""
+    kind, key, turn, digest = (F.col(c) for c in ("kind", "key", "turn", "_digest"))
+    keys = keys.withColumn("_digest", F.sha2(F.concat_ws("|", F.lit(secret), kind, key, turn.cast("string")), 512))
     byte = lambda d, i: F.conv(F.substring(d, 2 * F.pmod(i - 1, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")
     number = lambda i: byte(digest, i)
     pick = lambda table, v, m: F.substring(F.lit(table), F.pmod(v, F.lit(m)) + 1, F.lit(1))
@@ -121,9 +123,12 @@ def _surrogate(kind: Column, key: Column, turn: Column, secret: str) -> Column:
 
     def foreign(c, v, more):
         """A letter of the same script; digits of any script become ASCII digits."""
-        of = lambda first, n: F.decode(F.unhex(F.lpad(F.hex(first + F.pmod(v * 256 + more, F.lit(n))), 4, "0")), "UTF-16BE")
-        scripts = reduce(lambda w, x: w.when(c.rlike(x[0]), of(x[1], x[2])), LETTERS, F.when(c.rlike(r"\p{N}"), pick("0123456789", v, 10)))
-        return F.when(c.rlike(r"[\p{L}\p{M}\p{N}]"), scripts.otherwise(pick("abcdefghijklmnopqrstuvwxyz", v, 26))).otherwise(c)
+        script = reduce(lambda w, x: w.when(c.rlike(x[0]), F.struct(F.lit(x[1]).alias("first"), F.lit(x[2]).alias("n"))), LETTERS[1:], F.when(c.rlike(LETTERS[0][0]), F.struct(F.lit(LETTERS[0][1]).alias("first"), F.lit(LETTERS[0][2]).alias("n"))))
+        letter = lambda p: F.decode(F.unhex(F.lpad(F.hex(p["first"] + F.pmod(v * 256 + more, p["n"])), 4, "0")), "UTF-16BE")
+        # bound once: the choice of the script is long
+        of_script = F.element_at(F.transform(F.array(script), letter), 1)
+        scripts = F.when(c.rlike(r"\p{N}"), pick("0123456789", v, 10)).otherwise(F.coalesce(of_script, pick("abcdefghijklmnopqrstuvwxyz", v, 26)))
+        return F.when(c.rlike(r"[\p{L}\p{M}\p{N}]"), scripts).otherwise(c)
 
     def char(w, c, i):
         v = byte(w["d"], i)
@@ -143,11 +148,14 @@ def _surrogate(kind: Column, key: Column, turn: Column, secret: str) -> Column:
     part = lambda i: F.substring(digest, i, 16)
     fixed = F.when(kind == "email", F.concat(part(1), F.lit("@"), part(17), F.substring(key, F.length(key) - tail + 1, tail))).otherwise(part(1))
     varies = F.substring(key, head + 1, F.length(key) - head - tail).rlike(r"[\p{L}\p{M}\p{N}]")
-    mapped = F.when(~varies, fixed).when(turn >= TURNS, F.concat(part(1), mapped)).otherwise(mapped)
+    keys = keys.withColumn("_mapped", mapped)
+    keys = keys.withColumn("_mapped", F.when(~varies, fixed).when(turn >= TURNS, F.concat(part(1), "_mapped")).otherwise(F.col("_mapped")))
+    mapped = F.col("_mapped")
     # the check digit of a card stays right
-    body = F.substring(mapped, F.lit(1), F.length(mapped) - 1)
-    check = F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    card = F.when(F.pmod(_luhn(key), F.lit(10)) == 0, F.concat(body, check)).otherwise(mapped)
+    keys = keys.withColumn("_body", F.when(kind == "card", F.substring(mapped, F.lit(1), F.length(mapped) - 1)))
+    keys = keys.withColumn("_next", F.concat("_body", F.lit("0")))
+    check = F.pmod(10 - F.pmod(_luhn(F.col("_next")), F.lit(10)), F.lit(10)).cast("string")
+    card = F.when(F.pmod(_luhn(key), F.lit(10)) == 0, F.concat("_body", check)).otherwise(mapped)
     ip = F.concat_ws(".", *((1 + F.pmod(number(F.lit(i)) , F.lit(223 if i == 1 else 254))).cast("string") for i in (1, 2, 3, 4)))
     name = F.lit(None).cast("string")
     for script, test in (("latin", F.lit(True)), ("cyrillic", key.rlike(r"\p{IsCyrillic}"))):
@@ -156,7 +164,8 @@ def _surrogate(kind: Column, key: Column, turn: Column, secret: str) -> Column:
         end = reduce(lambda c, g, script=script: c.when(kind == f"given_{g}", ENDINGS[script, g]), "mfu", F.when(F.lit(False), ""))
         name = F.when(test, F.when(kind == "surname", stem(5)).otherwise(F.concat(stem(4), end))).otherwise(name)
     is_name = (kind == "surname") | kind.startswith("given_")
-    return F.when(is_name, name).when(kind == "ip", ip).when(kind == "card", card).otherwise(mapped)
+    made = F.when(is_name, name).when(kind == "ip", ip).when(kind == "card", card).otherwise(mapped)
+    return keys.withColumn("surrogate", made).drop("_digest", "_mapped", "_body", "_next")
 
 
 def _written(raw: Column, kind: Column, parts: Column) -> Column:
@@ -181,7 +190,7 @@ def surrogates(entities: DataFrame, secret: str, scratch: Scratch) -> DataFrame:
     keys = scratch.write(entities.select("kind", "key").distinct().withColumn("turn", F.lit(0)), "keys")
     real = keys.select(F.col("kind").alias("rk"), F.col("key").alias("real"))
     while True:
-        made = _spread(keys, "key").withColumn("surrogate", _surrogate(F.col("kind"), F.col("key"), F.col("turn"), secret))
+        made = _with_surrogate(_spread(keys, "key"), secret)
         first = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("turn", "key")) > 1
         taken = made.withColumn("later", first).join(real, (F.col("kind") == F.col("rk")) & (F.col("surrogate") == F.col("real")), "left")
         made = scratch.write(taken.select("kind", "key", "turn", "surrogate", (F.col("later") | F.col("real").isNotNull()).alias("again")), "made")
