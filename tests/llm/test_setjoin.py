@@ -62,7 +62,7 @@ def test_against_all_pairs(spark, k, num, den):
 @pytest.mark.parametrize("crowd", [2, 10**6])
 def test_long_lists_and_crowds(spark, monkeypatch, crowd):
     """With small bounds every list is long and a crowd has many blocks; and without any crowd."""
-    for name, value in (("LIST_ENTRIES", 16), ("GROUP_BLOCK", 8), ("HOT", 3), ("CROWD", crowd)):
+    for name, value in (("LIST_ENTRIES", 16), ("GROUP_BLOCK", 8), ("HOT", 3), ("DENSE", 0), ("CROWD", crowd)):
         monkeypatch.setattr(setjoin, name, value)
     rows = corpus(9, 80, 90)
     assert joined(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100, links=True)

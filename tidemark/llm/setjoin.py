@@ -12,8 +12,8 @@ Two documents link when den * |X & Y| >= num * |X | Y| for their sets of word sh
 4. *Index lists by position*: a list holds, for a token, the sets that have it in their prefix, in blocks of one set size
    and sorted by position in a block.  A set skips the blocks whose size cannot link, and, of a block, all entries beyond
    the position from which on too few tokens are left, and all entries of its own crowd.
-5. Pairs of different crowds are thinned out by parity bitmaps (a lower bound of the symmetric difference, so nothing is lost)
-   and compared in full.
+5. Pairs of different crowds are thinned out by parity bitmaps (a lower bound of the symmetric difference, so nothing is lost),
+   inside the list where it would make many pairs, and compared in full.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ HOT = 30
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: A list of more entries is worked on in blocks; so are crowds of more members.
 LIST_ENTRIES, GROUP_BLOCK = 4096, 1024
+#: More pairs than this for each entry make a list dense.
+DENSE = 8
 #: Tokens of a set that look for a crowd, sets that make one, and how often a set chooses a pivot.
 SKETCH, CROWD, CHOICES = 3, 8, 3
 
@@ -330,11 +332,15 @@ _SORTED = ["token", "block", "n", "pos", "id"]
 
 
 def scan_lists(entries: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of different crowds that share a list and are allowed by size and position there."""
+    """Pairs of different crowds that share a list and are allowed by size and position there (kind 0: a, b), and the entries of
+    lists that would make many pairs (kind 1: token, block, id as a, n, pos, crowd)."""
+    kinds = {"kind": "int32", "token": "int64", "block": "int32", "a": "int64", "b": "int64", "n": "int32", "pos": "int32", "crowd": "int64"}
 
-    def emit(a, b):
-        for i in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], names=["a", "b"])
+    def emit(m, **given):
+        for i in range(0, m, 100_000):
+            size = min(100_000, m - i)
+            columns = [np.asarray(given[c][i : i + size]).astype(t) if not np.isscalar(given.get(c, 0)) else np.full(size, given.get(c, 0), t) for c, t in kinds.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(kinds))
 
     def run(batches):
         for now in _runs(batches, [*_SORTED, "crowd"], ["token", "block"]):
@@ -353,14 +359,47 @@ def scan_lists(entries: DataFrame, rule: Rule) -> DataFrame:
                 nx, ny = n[x], n[y]
                 least = rule.overlap(nx, ny)
                 ok = same & (crowd[x] != crowd[y]) & (ny >= rule.smallest(nx)) & (nx - pos[x] >= least) & (ny - pos[y] >= least)
-                yield from emit(ids[x][ok], ids[y][ok])
+                yield from emit(int(ok.sum()), a=ids[x][ok], b=ids[y][ok])
             for i in np.flatnonzero(length > 12).tolist():
                 part = slice(bounds[i], bounds[i + 1])
                 n, pos, ids, crowd = (now[c][part].astype("int64") for c in ("n", "pos", "id", "crowd"))
                 x, y = cross_pairs(n, pos, crowd, rule)
-                yield from emit(ids[x], ids[y])
+                if len(x) > DENSE * len(n):
+                    yield from emit(len(n), kind=1, token=now["token"][part], block=now["block"][part], a=ids, n=n, pos=pos, crowd=crowd)
+                else:
+                    yield from emit(len(x), a=ids[x], b=ids[y])
 
     placed = entries.repartition("token", "block").sortWithinPartitions(*_SORTED)
+    return placed.mapInArrow(run, "kind int, token bigint, block int, a bigint, b bigint, n int, pos int, crowd bigint")
+
+
+def sift_dense(dense: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of lists that would make many, as far as bitmaps allow them; the others never become rows."""
+
+    def run(batches):
+        for now in _runs(batches, [*_SORTED, "crowd", "bitmap"], ["token", "block"]):
+            bounds = _bounds(now, ["token", "block"])
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                n, pos, ids, crowd = (now[c][lo:hi].astype("int64") for c in ("n", "pos", "id", "crowd"))
+                maps = now["bitmap"][lo:hi]
+                words = np.array([len(m) // 8 for m in maps])
+                x, y = cross_pairs(n, pos, crowd, rule)
+                x, y = np.where(n[x] < n[y], y, x), np.where(n[x] < n[y], x, y)
+                allowed = np.zeros(len(x), bool)
+                for w in np.unique(words).tolist():
+                    table = np.zeros((len(n), w), "<u8")
+                    for i in np.flatnonzero(words >= w):
+                        table[i] = fold(np.frombuffer(maps[i], "<u8"), w)
+                    of = np.flatnonzero(words[y] == w)
+                    for s in range(0, len(of), 100_000):
+                        at = of[s : s + 100_000]
+                        far = np.bitwise_count(table[x[at]] ^ table[y[at]]).sum(1)
+                        allowed[at] = far <= n[x[at]] + n[y[at]] - 2 * rule.overlap(n[x[at]], n[y[at]])
+                a, b = ids[x[allowed]], ids[y[allowed]]
+                for i in range(0, len(a), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], names=["a", "b"])
+
+    placed = dense.repartition("token", "block").sortWithinPartitions(*_SORTED)
     return placed.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -556,9 +595,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     reps = scratch.write(reps.join(of, F.col("id") == F.col("cid"), "left").drop("cid").withColumn("crowd", F.coalesce("pivot", "id")), "reps in crowds")
     inside = scratch.write(links_in_crowds(crowds.join(sized, F.col("id") == F.col("sid")).drop("sid"), scratch, rule), "inside")
     entries = entries_of(reps)
-    scanned = scratch.write(scan_lists(cut_lists(entries, scratch.write(long_lists(reps), "long"), scratch), rule).where("a <> b").distinct(), "scanned")
-    scratch.discard("sets", "classes", "long", "looking", "choices", "chosen", "crowd sets", "long lists")
+    scanned = scratch.write(scan_lists(cut_lists(entries, scratch.write(long_lists(reps), "long"), scratch), rule), "lists")
     bitmaps = reps.select(F.col("id").alias("bid"), F.col("n").cast("bigint").alias("bn"), "bitmap")
+    dense = scanned.where("kind = 1").select("token", "block", F.col("a").alias("id"), "n", "pos", "crowd")
+    dense = dense.join(bitmaps, (F.col("id") == F.col("bid")) & (F.col("n") == F.col("bn"))).drop("bid", "bn")
+    scanned = scanned.where("kind = 0").select("a", "b").union(sift_dense(dense, rule))
+    scanned = scratch.write(scanned.where("a <> b").distinct(), "scanned")
+    scratch.discard("sets", "classes", "long", "looking", "choices", "chosen", "crowd sets", "long lists", "lists")
     with_a = scanned.join(bitmaps.select(F.col("bid").alias("a"), F.col("bn").alias("na"), F.col("bitmap").alias("ma")), "a")
     with_b = with_a.join(bitmaps.select(F.col("bid").alias("b"), F.col("bn").alias("nb"), F.col("bitmap").alias("mb")), "b")
     pairs = allowed_pairs(with_b, rule)
