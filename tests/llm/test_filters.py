@@ -82,6 +82,18 @@ def test_long_documents_train(spark, monkeypatch):
     assert all(len(t) <= 640 + 64 and t == t.lower() for t, _ in got)
 
 
+@pytest.mark.parametrize("toxic, ordinary", [(1, 2), (7, 30), (500, 3), (500, 500)])
+def test_sample_is_of_the_smallest_hashes(spark, monkeypatch, toxic, ordinary):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", toxic)
+    monkeypatch.setattr(toxicity, "SAMPLE_ORDINARY", ordinary)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(500).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS INT) AS toxic")
+    place = dict(docs.selectExpr("doc_id", "xxhash64(doc_id)").collect())
+    own = sorted((i for i in range(400) if zlib.crc32(str(i).encode()) % 5), key=place.get)
+    want = [i for i in own if i % 3 == 0][:toxic] + [i for i in own if i % 3][:ordinary]
+    assert toxicity.training_sample(docs, labels) == [(f"text {i}", int(i % 3 == 0)) for i in sorted(want, key=place.get)]
+
+
 def test_nothing_to_learn(spark):
     model = toxicity.fit([("some text", 0)])
     docs = spark.createDataFrame([(1, "a", "z")], "doc_id bigint, text string, score string")

@@ -211,9 +211,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
     own = own.where(~held_out(F.col("k"))).groupBy("k").agg(F.max("y").alias("y"))
     there = docs.select(docs[id_col].cast("bigint").alias("f")).where("f is not null")
     own = own.join(there, F.col("k") == F.col("f"), "left_semi")
-    bounds = F.when(F.col("y") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_ORDINARY)
-    rank = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("k"), "k"))
-    picked = own.withColumn("r", rank).where((F.col("r") <= max(SAMPLE_TOXIC, SAMPLE_ORDINARY)) & (F.col("r") <= bounds)).select("k", "y").collect()  # bounded by the two limits
+    bound = {1: SAMPLE_TOXIC, 0: SAMPLE_ORDINARY}
+    by_label = lambda given: F.when(F.col("y") == 1, given.get(1)).otherwise(given.get(0))
+    total = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row per label
+    place = F.xxhash64("k")
+    rank = F.row_number().over(W.partitionBy("y").orderBy(place, "k"))
+    picked, margin = [], 2
+    while any(sum(r["y"] == y for r in picked) < min(n, bound[y]) for y, n in total.items()):
+        # only hashes small enough for about margin * bound rows are ranked, so that what a task gets does not grow with the labels
+        upto = {y: min((1 << 63) - 1, (margin * bound[y] << 64) // n - (1 << 63)) for y, n in total.items()}
+        ranked = own.where(place <= by_label(upto)).withColumn("r", rank)
+        picked = ranked.where(F.col("r") <= by_label(bound)).select("k", "y").collect()  # bounded by the two limits
+        margin *= 2
     if not picked:
         return []
     few = F.broadcast(docs.sparkSession.createDataFrame(picked, "k bigint, y int"))
