@@ -145,7 +145,7 @@ def test_conflict(spark, users):
 
 def test_missing_rename_is_made_up_for(spark, users):
     entry = json.loads(users.files.read("log/00000000000000000001.json"))
-    users.files.rename(f"changes/{entry['change'][0][1]}", f"staging/{entry['stage']}/{entry['change'][0][0]}")
+    users.files.rename("changes/00000000000000000001", f"staging/{entry['stage']}")
     assert users.changes(0).count() == 0
     assert VersionedTable(spark, users.path).changes(0).count() == 4
 
@@ -196,3 +196,52 @@ def test_stream_holds_two_commits_in_a_batch(spark, users):
     got = sinks.drain(users.stream_changes(0, per_trigger=2)).collect()
     assert sorted({(r["_batch"], r["_commit_version"]) for r in got}) == [(0, 1), (0, 2), (1, 3), (1, 4)]
     assert {r["_commit_version"] for r in sinks.drain(users.stream_changes(3)).collect()} == {3, 4}
+
+
+def test_files_out_of_range_are_left_out(spark, users):
+    users.write(rows(spark, [(100, "x"), (120, "y")]))
+    near, _ = users.merge(rows(spark, [(100, "n")]), "target.id = source.id", "id")._near(rows(spark, [(100, "n")]), users._state()[1])
+    assert len(near) == 1 and users._state()[1][near[0]]["id"][0] == "100"
+    merge = users.merge(rows(spark, []), "target.id = source.id", "id")
+    assert merge._near(rows(spark, []), users._state()[1])[0] == [] and merge._near(rows(spark, [(None, "z")]), users._state()[1])[0] == []
+    by_name = users.merge(rows(spark, [(1, "Bob")]), "target.name = source.name", "name")
+    assert len(by_name._near(rows(spark, [(1, "Bob")]), users._state()[1])[0]) >= 1
+    for i in range(8):
+        users.write(rows(spark, [(200 + i, "x" * 100)]))
+    kept = VersionedTable(spark, users.path)._state()[1]  # from the checkpoint
+    assert kept == users._state()[1] and all("id" in v for v in kept.values()) and any("name" not in v for v in kept.values())
+
+
+def test_commits_have_equally_many_change_files(spark, folder):
+    t = VersionedTable.create(spark, f"{folder}/c", USER, change_files=3)
+    t.write(rows(spark, [(1, "a")]))
+    t.write(rows(spark, [(i, "b") for i in range(2, 50)]))
+    assert [len(t.files.list(f"changes/{n}")) for n in t.files.list("changes")] == [3, 3]
+    got = sinks.drain(t.stream_changes(0, per_trigger=1)).collect()
+    assert sorted({(r["_batch"], r["_commit_version"]) for r in got}) == [(0, 1), (1, 2)] and len(got) == 49
+
+
+def test_only_files_with_a_change_are_rewritten(spark, users):
+    before = set(users._state()[1])
+    users.merge(rows(spark, [(2, "no"), (70, "new")]), "target.id = source.id", "id").when_matched_update(condition="source.name = 'yes'").when_not_matched_insert().execute()
+    assert before < set(users._state()[1]) and state(users) == [*BASE, (70, "new")]
+    assert feed(users, 2) == [(2, "insert", 70, "new")]
+    users.merge(rows(spark, [(2, "no")]), "target.id = source.id", "id").when_matched_update(condition="source.name = 'yes'").execute()
+    assert users.version() == 3 and feed(users, 3) == []
+
+
+def test_merges_against_a_dictionary(spark, folder):
+    import random
+
+    dice, t, held = random.Random(5), VersionedTable.create(spark, f"{folder}/d", USER), {}
+    for step in range(4):
+        batch = {dice.randrange(30): dice.choice(["gone", None, f"v{step}"]) for _ in range(12)}
+        merge = t.merge(rows(spark, list(batch.items())), "target.id = source.id", "id")
+        merge.when_matched_delete("source.name = 'gone'").when_matched_update().when_not_matched_insert(condition="source.name is null or source.name <> 'gone'").execute()
+        for k, v in batch.items():
+            held.pop(k, None) if v == "gone" else held.update({k: v})
+        assert state(t) == sorted(held.items())
+    counted = {}
+    for r in t.changes(0).collect():
+        counted[(r["id"], r["name"])] = counted.get((r["id"], r["name"]), 0) + (1 if r["_change_type"] in ("insert", "update_postimage") else -1)
+    assert {k for k, n in counted.items() if n} == set(held.items()) and set(counted.values()) <= {0, 1}

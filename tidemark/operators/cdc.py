@@ -55,21 +55,21 @@ def _same(key: str) -> Column:
 
 
 def upsert(table: VersionedTable, source: DataFrame, key: str, txn: tuple[str, int] | None = None) -> int:
-    return table.merge(source, _same(key)).when_matched_update().when_not_matched_insert().execute(txn)
+    return table.merge(source, _same(key), key).when_matched_update().when_not_matched_insert().execute(txn)
 
 
 def update_only(table: VersionedTable, source: DataFrame, key: str, txn: tuple[str, int] | None = None) -> int:
-    return table.merge(source, _same(key)).when_matched_update().execute(txn)
+    return table.merge(source, _same(key), key).when_matched_update().execute(txn)
 
 
 def upsert_with_tombstones(table: VersionedTable, source: DataFrame, key: str, txn: tuple[str, int] | None = None) -> int:
     """A row of which all but the key is null deletes; one for a missing key does nothing."""
     gone = all_other_null(source.columns, key)
-    return table.merge(source, _same(key)).when_matched_delete(gone).when_matched_update().when_not_matched_insert(condition=~gone).execute(txn)
+    return table.merge(source, _same(key), key).when_matched_delete(gone).when_matched_update().when_not_matched_insert(condition=~gone).execute(txn)
 
 
 def upsert_log(table: VersionedTable, log: DataFrame, key: str, txn: tuple[str, int] | None = None) -> int:
     """Tombstones delete, upserts update or insert."""
     kind = F.col("source._type")
-    merge = table.merge(merge_source(log, key), _same(key)).when_matched_delete(kind == TOMBSTONE)
+    merge = table.merge(merge_source(log, key), _same(key), key).when_matched_delete(kind == TOMBSTONE)
     return merge.when_matched_update(condition=kind == UPSERT).when_not_matched_insert(condition=kind == UPSERT).execute(txn)

@@ -1,12 +1,15 @@
 """A versioned table on parquet files with a commit log, row-level changes and a change feed.
 
 Folders of a table: ``log`` (one JSON commit per version, now and then a parquet checkpoint of the active files), ``data``,
-``changes`` (change rows of a commit, named by its version) and ``staging``.  A commit writes its files first and is
-published by creating its log entry, which must not exist yet: of two writers of one version one gets a conflict.  Change
-files are renamed into ``changes`` after that, and on opening a rename that was left out is made up for, so
-the feed never shows a commit that did not happen.
-
-Only files that hold a row to change are rewritten; others stay in the table as they are.
+``changes`` (a folder of change files per commit, named by its version) and ``staging``.  A commit writes its files first and is
+published by creating its log entry, which must not exist yet: of two writers of one version one gets a conflict.  Its folder of
+changes is renamed into ``changes`` after that, and on opening a rename that was left out is made up for, so the feed never
+shows a commit that did not happen.  Every commit with changes has the same number of change files, so a stream that takes a
+multiple of it takes whole commits.
+
+Only files that hold a row to change are rewritten; others stay in the table as they are.  The log keeps the least and the
+greatest value of whole-number, date and short string columns of each file, by which a merge leaves files out unread; conditions
+of deletes and updates reach the parquet scan, which does the same by row group.
 """
 
 from __future__ import annotations
@@ -14,12 +17,15 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from tidemark.functions.schema import conform, require_non_null
 from tidemark.session import Files
@@ -27,6 +33,8 @@ from tidemark.session import Files
 CHANGE_TYPE, VERSION, TIMESTAMP = "_change_type", "_commit_version", "_commit_timestamp"
 INSERT, DELETE, PREIMAGE, POSTIMAGE = "insert", "delete", "update_preimage", "update_postimage"
 CHECKPOINT_EVERY = 10
+FILE, PLACE = "__file", "__row"  # where a row of the table stands
+LEAST_TEXT = 64  # longer least or greatest strings are not kept, and the file is read
 
 
 class CommitConflict(RuntimeError):
@@ -53,14 +61,13 @@ class VersionedTable:
     # -- life of a table --
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, schema: T.StructType, change_feed: bool = True, change_files: int = 1) -> VersionedTable:
+    def create(cls, spark: SparkSession, path: str, schema: T.StructType, change_feed: bool = True, change_files: int | None = None) -> VersionedTable:
         """An empty table as version 0.
 
-        ``change_files``: files that a commit's changes are written to.  One keeps a commit in one micro-batch
-        of the feed; bulk loads take more.
+        ``change_files``: files that the changes of a commit are written to, by default one for each core there is now.
         """
-        files = Files(spark, path)
-        entry = {"version": 0, "operation": "create", "timestamp": time.time(), "schema": schema.jsonValue(), "cdf": change_feed, "change_files": change_files, "add": [], "remove": [], "change": []}
+        files, change_files = Files(spark, path), change_files or spark.sparkContext.defaultParallelism
+        entry = {"version": 0, "operation": "create", "timestamp": time.time(), "schema": schema.jsonValue(), "cdf": change_feed, "change_files": change_files, "add": [], "stats": {}, "remove": [], "stage": None}
         try:
             files.create("log/" + _entry_name(0), json.dumps(entry))
         except FileExistsError as e:
@@ -76,7 +83,7 @@ class VersionedTable:
         staged = set(self.files.list("staging"))
         if staged:
             for entry in self._entries():
-                if entry.get("stage") in staged:
+                if entry["stage"] in staged:
                     self._publish(entry)
 
     # -- log --
@@ -88,16 +95,16 @@ class VersionedTable:
     def version(self) -> int:
         return max(int(n[:20]) for n in self.files.list("log") if n.endswith(".json"))
 
-    def _state(self, version: int | None = None) -> tuple[dict, list[str]]:
-        """(last entry, active data files) at a version, from the newest checkpoint on."""
+    def _state(self, version: int | None = None) -> tuple[dict, dict[str, dict]]:
+        """(last entry, active data files with their statistics) at a version, from the newest checkpoint on."""
         at = self.version() if version is None else version
         marks = [int(n[:20]) for n in self.files.list("log") if n.endswith(".checkpoint.parquet") and int(n[:20]) <= at]
-        active: dict[str, None] = {}
+        active: dict[str, dict] = {}
         start = 0
         if marks:
             start = max(marks) + 1
             rows = self.spark.read.parquet(f"{self.path}/log/{_entry_name(max(marks), 'checkpoint.parquet')}").collect()
-            active = dict.fromkeys(r["file"] for r in rows if r["file"])
+            active = {r["file"]: json.loads(r["stats"]) for r in rows if r["file"]}
         last = None
         for entry in self._entries(min(start, at)):
             if entry["version"] > at:
@@ -106,14 +113,14 @@ class VersionedTable:
             if entry["version"] >= start:
                 for f in entry["remove"]:
                     active.pop(f, None)
-                active |= dict.fromkeys(entry["add"])
+                active |= {f: entry["stats"].get(f, {}) for f in entry["add"]}
         if last is None or last["version"] != at:
             raise ValueError(f"no version {at}")
-        return last, list(active)
+        return last, active
 
-    @property
+    @cached_property
     def schema(self) -> T.StructType:
-        return T.StructType.fromJson(self._state()[0]["schema"])
+        return T.StructType.fromJson(json.loads(self.files.read("log/" + _entry_name(0)))["schema"])
 
     @property
     def change_schema(self) -> T.StructType:
@@ -123,9 +130,9 @@ class VersionedTable:
     def checkpoint(self) -> None:
         """Write the list of active files of this version as parquet; reading starts from there."""
         entry, active = self._state()
-        rows = [(f,) for f in active] or [(None,)]
+        rows = [(f, json.dumps(stats)) for f, stats in active.items()] or [(None, None)]
         stage = f"staging/checkpoint-{uuid.uuid4().hex}"
-        self.spark.createDataFrame(rows, "file string").coalesce(1).write.parquet(f"{self.path}/{stage}")
+        self.spark.createDataFrame(rows, "file string, stats string").coalesce(1).write.parquet(f"{self.path}/{stage}")
         target = f"log/{_entry_name(entry['version'], 'checkpoint.parquet')}"
         if not self.files.exists(target):
             self.files.rename(f"{stage}/{self.files.list(stage)[0]}", target)
@@ -144,11 +151,15 @@ class VersionedTable:
 
     # -- reading --
 
-    def _read(self, files: list[str]) -> DataFrame:
-        schema = self.schema
-        if not files:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.path}/data/{f}" for f in files))
+    def _read(self, files: Iterable[str]) -> DataFrame:
+        paths = [f"{self.path}/data/{f}" for f in files]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _placed(self, files: Iterable[str]) -> DataFrame:
+        """Rows of data files, with the file and their place in it: names that a second reading gives again."""
+        files = list(files)
+        where = ("_metadata.file_path", "_metadata.row_index") if files else ("CAST(NULL AS string)", "CAST(NULL AS bigint)")
+        return self._read(files).select("*", F.expr(where[0]).alias(FILE), F.expr(where[1]).alias(PLACE))
 
     def snapshot(self, version: int | None = None) -> DataFrame:
         return self._read(self._state(version)[1])
@@ -158,44 +169,70 @@ class VersionedTable:
         entry, _ = self._state()
         if not entry["cdf"]:
             raise ValueError("the table keeps no change feed")
-        names = [n for n in self.files.list("changes") if start <= int(n[:20]) and (end is None or int(n[:20]) <= end)]
+        names = [n for n in self.files.list("changes") if start <= int(n) and (end is None or int(n) <= end)]
         if not names:
             return self.spark.createDataFrame([], self.change_schema)
         return self.spark.read.schema(self.change_schema).parquet(*(f"{self.path}/changes/{n}" for n in names))
 
     def stream_changes(self, start: int = 0, per_trigger: int | None = None) -> DataFrame:
-        """The change feed as a stream; ``per_trigger`` change files (by default a commit each) in a micro-batch."""
-        if not self._state()[0]["cdf"]:
+        """The change feed as a stream; ``per_trigger`` commits (by default all there are) in a micro-batch."""
+        entry, _ = self._state()
+        if not entry["cdf"]:
             raise ValueError("the table keeps no change feed")
-        self.files.fs.mkdirs(self.files._path("changes"))
-        reader = self.spark.readStream.schema(self.change_schema)
+        self.files.mkdirs("changes")
+        reader = self.spark.readStream.schema(self.change_schema).option("recursiveFileLookup", True)
         if per_trigger:
-            reader = reader.option("maxFilesPerTrigger", per_trigger)
+            reader = reader.option("maxFilesPerTrigger", per_trigger * entry["change_files"])
         return reader.parquet(f"{self.path}/changes").where(F.col(VERSION) >= start)
 
     # -- committing --
 
     def _publish(self, entry: dict) -> None:
-        for staged, name in entry["change"]:
-            if not self.files.exists(f"changes/{name}"):
-                self.files.rename(f"staging/{entry['stage']}/{staged}", f"changes/{name}")
-        self.files.delete(f"staging/{entry['stage']}")
+        name = f"changes/{entry['version']:020d}"
+        if entry["stage"] and not self.files.exists(name):
+            self.files.rename(f"staging/{entry['stage']}", name)
+
+    def _write_data(self, rows: DataFrame | None, folder: str) -> tuple[list[str], dict[str, dict]]:
+        """Write data files; their names, and what is the least and the greatest in each by column."""
+        if rows is None:
+            return [], {}
+        require_non_null(conform(rows, self.schema), self.schema).write.parquet(f"{self.path}/data/{folder}")
+        added = [f"{folder}/{n}" for n in self.files.list(f"data/{folder}")]
+        kept = [f.name for f in self.schema if _has_range(f.dataType)]
+        if not kept:
+            return added, {}
+        both = [x for n in kept for x in (F.min(f"`{n}`"), F.max(f"`{n}`"))]
+        # a row per file, as in the log entry that takes them
+        found = self._read(added).groupBy(F.col("_metadata.file_path").alias(FILE)).agg(F.struct(*(x.cast("string").alias(f"v{i}") for i, x in enumerate(both))).alias("v"))
+        stats = {}
+        for row in found.collect():
+            values, ranges = list(row["v"]), {}
+            for i, n in enumerate(kept):
+                low, high = values[2 * i], values[2 * i + 1]
+                if low is not None and len(low) <= LEAST_TEXT and len(high) <= LEAST_TEXT:
+                    ranges[n] = [low, high]
+            stats |= {f: ranges for f in _match_names([row[FILE]], added)}
+        return list(stats), stats  # a file without rows is not part of the table
+
+    def _write_changes(self, changes: DataFrame | None, base: dict, version: int, now: float, stage: str) -> str | None:
+        if changes is None or not base["cdf"]:
+            return None
+        out = changes.withColumn(VERSION, F.lit(version).cast("bigint")).withColumn(TIMESTAMP, F.timestamp_seconds(F.lit(now)))
+        self.files.write_parts(out.select(*self.change_schema.names), f"staging/{stage}", base["change_files"])
+        return stage
 
     def _commit(self, operation: str, base: dict, add: DataFrame | None, remove: list[str], changes: DataFrame | None, txn: tuple[str, int] | None = None) -> int:
         """Publish version base + 1; ``changes`` has the table's columns and the change type."""
-        version, schema = base["version"] + 1, T.StructType.fromJson(base["schema"])
-        stage = uuid.uuid4().hex
-        added: list[str] = []
-        if add is not None:
-            folder = f"{version:020d}-{stage[:8]}"
-            require_non_null(conform(add, schema), schema).write.parquet(f"{self.path}/data/{folder}")
-            added = [f"{folder}/{n}" for n in self.files.list(f"data/{folder}")]
-        now, staged = time.time(), []
-        if changes is not None and base["cdf"]:
-            out = changes.withColumn(VERSION, F.lit(version).cast("bigint")).withColumn(TIMESTAMP, F.timestamp_seconds(F.lit(now)))
-            out.select(*self.change_schema.names).coalesce(base["change_files"]).write.parquet(f"{self.path}/staging/{stage}")
-            staged = [[n, f"{version:020d}-{i:05d}.parquet"] for i, n in enumerate(self.files.list(f"staging/{stage}"))]
-        entry = base | {"version": version, "operation": operation, "timestamp": now, "add": added, "remove": remove, "change": staged, "stage": stage, "batches": base.get("batches", {}) | (dict([txn]) if txn else {})}
+        version, now, stage = base["version"] + 1, time.time(), uuid.uuid4().hex
+        with ThreadPoolExecutor(2) as pool:  # two writes that do not wait for one another
+            data = pool.submit(inheritable_thread_target(self.spark)(self._write_data), add, f"{version:020d}-{stage[:8]}")
+            staged = pool.submit(inheritable_thread_target(self.spark)(self._write_changes), changes, base, version, now, stage)
+        try:
+            (added, stats), staged = data.result(), staged.result()
+        except BaseException:
+            self.files.delete(f"staging/{stage}")
+            raise
+        entry = base | {"version": version, "operation": operation, "timestamp": now, "add": added, "stats": stats, "remove": remove, "stage": staged, "batches": base.get("batches", {}) | (dict([txn]) if txn else {})}
         try:
             self.files.create("log/" + _entry_name(version), json.dumps(entry))
         except FileExistsError as e:
@@ -223,21 +260,24 @@ class VersionedTable:
         changes = df.withColumn(CHANGE_TYPE, F.lit(INSERT))
         if mode == "overwrite" and active:
             changes = self._read(active).withColumn(CHANGE_TYPE, F.lit(DELETE)).union(changes)
-        return self._commit(mode, base, df, active if mode == "overwrite" else [], changes, txn)
+        return self._commit(mode, base, df, list(active) if mode == "overwrite" else [], changes, txn)
+
+    def _touched(self, active: Iterable[str], condition: Column | str | None) -> list[str]:
+        """Names of the data files that hold a row for which the condition holds.
 
-    def _touched(self, active: list[str], condition: Column) -> list[str]:
-        """Names of the data files that hold a row for which the condition holds."""
-        rows = self._read(active).where(condition).select(F.input_file_name().alias("f")).distinct().collect() if active else []
-        return _match_names([r["f"] for r in rows], active)
+        The condition stands bare in the filter, so that what of it can be pushed down reaches the scan.
+        """
+        rows = self._placed(active).where(_as_column(condition).cast("boolean")).select(FILE).distinct().collect()
+        return _match_names([r[FILE] for r in rows], active)
 
     def delete(self, condition: Column | str | None = None) -> int:
         """Remove the rows for which the condition holds; a null condition keeps the row."""
         base, active = self._state()
-        touched = self._touched(active, _holds(condition))
+        touched = self._touched(active, condition)
         if not touched:
             return self._commit("delete", base, None, [], None)
         rows = self._read(touched)
-        return self._commit("delete", base, rows.where(~_holds(condition)), touched, rows.where(_holds(condition)).withColumn(CHANGE_TYPE, F.lit(DELETE)))
+        return self._commit("delete", base, rows.where(~_holds(condition)), touched, rows.where(_as_column(condition).cast("boolean")).withColumn(CHANGE_TYPE, F.lit(DELETE)))
 
     def update(self, condition: Column | str | None, assignments: dict[str, Column | str]) -> int:
         """Give columns new values in the rows for which the condition holds."""
@@ -246,27 +286,35 @@ class VersionedTable:
         unknown = [c for c in assignments if c not in names]
         if unknown:
             raise ValueError(f"the table has no columns {unknown}; it has {names}")
-        touched = self._touched(active, _holds(condition))
+        touched = self._touched(active, condition)
         if not touched:
             return self._commit("update", base, None, [], None)
         rows = self._read(touched)
         new = {c: _as_column(v) for c, v in assignments.items()}
         image = [new.get(c, F.col(f"`{c}`")).alias(c) for c in names]
-        hit = rows.where(_holds(condition))
+        hit = rows.where(_as_column(condition).cast("boolean"))
         changes = hit.withColumn(CHANGE_TYPE, F.lit(PREIMAGE)).unionByName(conform(hit.select(*image), self.schema).withColumn(CHANGE_TYPE, F.lit(POSTIMAGE)))
         after = rows.select(*(F.when(_holds(condition), new[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in names))
         return self._commit("update", base, after, touched, changes)
 
-    def merge(self, source: DataFrame, on: Column | str) -> Merge:
-        """Bring in a source; the table is called ``target`` and the source ``source`` in ``on`` and in all clauses."""
-        return Merge(self, source, on)
+    def merge(self, source: DataFrame, on: Column | str, key: str | None = None) -> Merge:
+        """Bring in a source; the table is called ``target`` and the source ``source`` in ``on`` and in all clauses.
+
+        ``key``: a column of both, given where ``on`` holds only for rows that are equal in it; files whose keys lie outside
+        of the source's are then left out unread.
+        """
+        return Merge(self, source, on, key)
 
 
 def _entry_name(version: int, kind: str = "json") -> str:
     return f"{version:020d}.{kind}"
 
 
-def _match_names(uris: list[str], active: list[str]) -> list[str]:
+def _has_range(kind: T.DataType) -> bool:
+    return isinstance(kind, T.IntegralType | T.DateType) or kind == T.StringType()
+
+
+def _match_names(uris: list[str], active: Iterable[str]) -> list[str]:
     """Names of active files among the locations that Spark gives."""
     tails = {"/".join(u.rsplit("/", 2)[-2:]) for u in uris}
     return [f for f in active if f in tails]
@@ -286,6 +334,7 @@ class Merge:
     table: VersionedTable
     source: DataFrame
     on: Column | str
+    key: str | None = None
     matched: list[_Clause] = field(default_factory=list)
     not_matched: list[_Clause] = field(default_factory=list)
 
@@ -301,13 +350,35 @@ class Merge:
         self.not_matched.append(_Clause("insert", _holds(condition), values))
         return self
 
+    def _near(self, source: DataFrame, active: dict[str, dict]) -> tuple[list[str], Column]:
+        """Files that may hold a key of the source, and a condition on the table's key that the scan understands."""
+        kinds = [df.schema[self.key].dataType if self.key in df.columns else None for df in (self.table._read([]), source)] if self.key else [None]
+        if None in kinds or not (all(isinstance(k, T.IntegralType) for k in kinds) or kinds[0] == kinds[1] and _has_range(kinds[0])):
+            return list(active), F.lit(True)
+        low, high = source.agg(F.min(f"`{self.key}`"), F.max(f"`{self.key}`")).first()
+        if low is None:
+            return [], F.lit(False)  # no key, so nothing is equal to it
+
+        def meets(stats: dict) -> bool:
+            if self.key not in stats:
+                return True
+            least, greatest = (int(v) if isinstance(kinds[0], T.IntegralType) else v for v in stats[self.key])
+            first, last = (low, high) if isinstance(kinds[0], T.IntegralType) else (str(low), str(high))
+            return least <= last and first <= greatest
+
+        return [f for f, stats in active.items() if meets(stats)], F.col(f"`{self.key}`").between(F.lit(low), F.lit(high))
+
     def execute(self, txn: tuple[str, int] | None = None) -> int:
-        """One commit.  Two source rows that match one target row are an error; those that match nothing are inserted as they are."""
+        """One commit.  Two source rows that match one target row are an error; those that match nothing are inserted as they are.
+
+        The source's rows are joined to the table's once and written with both images; rows of the table that no clause takes
+        are not carried along, but read again and copied by an anti join on their places.
+        """
         table, spark = self.table, self.table.spark
         base, active = table._state()
         if table._done(base, txn):
             return base["version"]
-        names = T.StructType.fromJson(base["schema"]).names
+        names = table.schema.names
         on = _as_column(self.on)
         for clause in self.matched + self.not_matched:
             wanted = clause.values if clause.values is not None else names if clause.kind != "delete" else []
@@ -318,19 +389,16 @@ class Merge:
         try:
             # the source may be a stream's batch or not repeatable: written once
             self.source.write.parquet(f"{stage}/source")
-            source = spark.read.schema(self.source.schema).parquet(f"{stage}/source").withColumn("_s", F.lit(True)).alias("source")
-            target = table._read(active).withColumn("_file", F.input_file_name()) if active else table._read([]).withColumn("_file", F.lit(None).cast("string"))
-            hit = target.alias("target").join(source, on, "left_semi").select("_file").distinct().collect()
-            touched = _match_names([r["_file"] for r in hit], active)
-            old = table._read(touched).withColumn("_t", F.monotonically_increasing_id()).alias("target")
-            joined = old.join(source, on, "full_outer")
+            source = spark.read.schema(self.source.schema).parquet(f"{stage}/source").alias("source")
+            near, between = self._near(source, active)
+            hit = table._placed(near).where(between).alias("target").join(source, on, "left_semi").select(FILE).distinct().collect()
+            touched = _match_names([r[FILE] for r in hit], near)
+            joined = source.join(table._placed(touched).where(between).alias("target"), on, "left")
+            both = F.col(f"target.{FILE}").isNotNull()
 
             def chain(clauses: list[_Clause], offset: int) -> Column:
                 return reduce(lambda c, p: F.when(p[1].condition, offset + p[0]).otherwise(c), reversed(list(enumerate(clauses))), F.lit(-1))
 
-            both = F.col("target._t").isNotNull() & F.col("source._s").isNotNull()
-            action = F.when(both, chain(self.matched, 0)).when(F.col("source._s").isNotNull(), chain(self.not_matched, 100)).otherwise(-1)
-
             def value(name: str) -> Column:
                 out = F.col(f"target.`{name}`")
                 for i, clause in [*enumerate(self.matched), *enumerate(self.not_matched, 100)]:
@@ -342,21 +410,30 @@ class Merge:
                 return out
 
             # names of both sides may clash, so the action is worked out beside them and the images in one select
-            flat = joined.withColumn("_action", action)
-            images = [F.col("target._t").alias("_t"), both.alias("_both"), "_action", F.struct(*(F.col(f"target.`{n}`").alias(n) for n in names)).alias("old"), F.struct(*(value(n).alias(n) for n in names)).alias("new")]
-            flat.select(*images).write.parquet(f"{stage}/joined")
+            flat = joined.withColumn("_action", F.when(both, chain(self.matched, 0)).otherwise(chain(self.not_matched, 100)))
+            images = [F.col(f"target.{c}").alias(c) for c in (FILE, PLACE)]
+            flat.select(*images, "_action", F.struct(*(F.col(f"target.`{n}`").alias(n) for n in names)).alias("old"), F.struct(*(value(n).alias(n) for n in names)).alias("new")).write.parquet(f"{stage}/joined")
             rows = spark.read.parquet(f"{stage}/joined")
-            if self.matched and not rows.where("_both").groupBy("_t").agg(F.count("*").alias("n"), F.max("_action").alias("a")).where("n > 1 and a >= 0").isEmpty():
+            # by row of the table, then by file: what comes here is a row per file to rewrite, and one for all inserts
+            per_row = rows.groupBy(FILE, PLACE).agg(F.count("*").alias("n"), F.max("_action").alias("a")).where("a >= 0")
+            taken = per_row.groupBy(FILE).agg(F.max(F.col("n") > 1).alias("again")).collect()
+            if not taken:
+                return table._commit("merge", base, None, [], None, txn)
+            if any(r["again"] for r in taken if r[FILE] is not None):
                 raise ValueError("several source rows match one row of the table")
+            rewritten = _match_names([r[FILE] for r in taken if r[FILE] is not None], touched)
             deletes = [i for i, c in enumerate(self.matched) if c.kind == "delete"]
             updates = [i for i, c in enumerate(self.matched) if c.kind == "update"]
             inserts = list(range(100, 100 + len(self.not_matched)))
-            kept = rows.where(F.col("_t").isNotNull() & (F.col("_action") == -1)).dropDuplicates(["_t"]).select("old.*")
-            new = rows.where(F.col("_action").isin(updates + inserts)).select("new.*")
-            parts = [("old", deletes, DELETE), ("old", updates, PREIMAGE), ("new", updates, POSTIMAGE), ("new", inserts, INSERT)]
-            changes = reduce(DataFrame.unionByName, (rows.where(F.col("_action").isin(a)).select(f"{image}.*").withColumn(CHANGE_TYPE, F.lit(kind)) for image, a, kind in parts))
-            if rows.where("_action >= 0").isEmpty():
-                return table._commit("merge", base, None, [], None, txn)
-            return table._commit("merge", base, kept.unionByName(new), touched, changes, txn)
+            gone = rows.where(F.col(FILE).isNotNull() & (F.col("_action") >= 0)).select(FILE, PLACE)
+            after = rows.where(F.col("_action").isin(updates + inserts)).select("new.*")
+            if rewritten:
+                after = table._placed(rewritten).join(gone, [FILE, PLACE], "left_anti").select(*(F.col(f"`{n}`") for n in names)).unionByName(after)
+            # both images of an updated row come from one reading
+            kinds = F.when(F.col("_action").isin(deletes), F.array(F.struct(F.lit(DELETE).alias("kind"), F.col("old").alias("image"))))
+            kinds = kinds.when(F.col("_action").isin(updates), F.array(F.struct(F.lit(PREIMAGE).alias("kind"), F.col("old").alias("image")), F.struct(F.lit(POSTIMAGE).alias("kind"), F.col("new").alias("image"))))
+            kinds = kinds.otherwise(F.array(F.struct(F.lit(INSERT).alias("kind"), F.col("new").alias("image"))))
+            changes = rows.where("_action >= 0").select(F.inline(kinds)).select("image.*", F.col("kind").alias(CHANGE_TYPE))
+            return table._commit("merge", base, after, rewritten, changes, txn)
         finally:
             table.files.delete(stage[len(table.path) + 1 :])

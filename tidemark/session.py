@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: State of transformWithState lives in RocksDB.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -111,6 +112,22 @@ class Files:
         finally:
             stream.close()
 
+    def mkdirs(self, name: str) -> None:
+        self.fs.mkdirs(self._path(name))
+
+    def write_parts(self, df: DataFrame, folder: str, parts: int) -> None:
+        """Write exactly ``parts`` parquet files to a new folder; where there are fewer, files without rows make up the number."""
+        df.coalesce(parts).write.option("maxRecordsPerFile", 0).parquet(f"{self.root}/{folder}")
+        missing = parts - len(self.list(folder))
+        if missing > 0:
+            empty = f"_empty/{hashlib.sha1(df.schema.json().encode()).hexdigest()}"  # one for each schema, kept
+            if not self.list(empty):
+                df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{self.root}/{empty}")
+            name = self.list(empty)[0]
+            conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            for i in range(missing):
+                self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs, self._path(f"{empty}/{name}"), self.fs, self._path(f"{folder}/part-none-{i:05d}.parquet"), False, conf)
+
     def rename(self, old: str, new: str) -> bool:
         self.fs.mkdirs(self._path(new).getParent())
         return self.fs.rename(self._path(old), self._path(new))

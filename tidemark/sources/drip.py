@@ -1,4 +1,4 @@
-"""Streams for tests and replays: one file, or one call, is one micro-batch."""
+"""Streams for tests and replays: one call is one micro-batch."""
 
 from __future__ import annotations
 
@@ -12,26 +12,28 @@ from tidemark.session import Files, shared_dir
 
 
 class DripFeed:
-    """A stream source that is fed batch by batch: ``add`` publishes one file by renaming it into the watched folder."""
+    """A stream source that is fed batch by batch: ``add`` publishes a folder by renaming it into the watched one.
 
-    def __init__(self, spark: SparkSession, schema: T.StructType | str):
-        self.spark, self.schema = spark, schema
+    Each batch has ``parts`` files, so a stream that takes that many at a time takes whole batches.
+    """
+
+    def __init__(self, spark: SparkSession, schema: T.StructType | str, parts: int = 1):
+        self.spark, self.schema, self.parts = spark, schema, parts
         self.path = f"{shared_dir(spark)}/drip-{uuid.uuid4().hex[:12]}"
         self.files = Files(spark, self.path)
-        self.files.fs.mkdirs(self.files._path("feed"))
+        self.files.mkdirs("feed")
         self.count = 0
 
     def add(self, rows: list | DataFrame) -> None:
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, self.schema)
         stage = f"stage-{self.count}"
-        df.coalesce(1).write.parquet(f"{self.path}/{stage}")
-        for name in self.files.list(stage):
-            self.files.rename(f"{stage}/{name}", f"feed/{self.count:06d}.parquet")
-        self.files.delete(stage)
+        self.files.write_parts(df, stage, self.parts)
+        self.files.rename(stage, f"feed/{self.count:06d}")
         self.count += 1
 
     def stream(self, per_trigger: int = 1) -> DataFrame:
-        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{self.path}/feed")
+        reader = self.spark.readStream.schema(self.schema).option("recursiveFileLookup", True)
+        return reader.option("maxFilesPerTrigger", per_trigger * self.parts).parquet(f"{self.path}/feed")
 
     def drop(self) -> None:
         self.files.delete()
@@ -45,9 +47,9 @@ def rate(spark: SparkSession, rows_per_batch: int = 100) -> DataFrame:
 def replay(df: DataFrame, column: str, batches: int) -> DataFrame:
     """A table as a stream of ``batches`` micro-batches in the order of a numeric column.
 
-    Batches are written to the shared folder one after another: a file stream takes files by age.
+    Batches are written to the shared folder one after another, each by all cores: a file stream takes files by age.
     """
-    feed = DripFeed(df.sparkSession, df.schema)
+    feed = DripFeed(df.sparkSession, df.schema, df.sparkSession.sparkContext.defaultParallelism)
     cuts = df.approxQuantile(column, [i / batches for i in range(1, batches)], 0.0) if batches > 1 else []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = df if low is None else df.filter(F.col(column) > low)
